@@ -82,6 +82,7 @@ def source_targets(
 
 def source_rates(measured: DataFrame, **limits) -> DataFrame:
     """``(source, source_size, target, whole, fraction, seed)``, from narrow rows with measures."""
+    measured = measured.select("source", "_pw_size", "_pw_a", "_pw_b")
     sizes = measured.groupBy("source").agg(F.sum("_pw_size").alias("source_size"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rates = checkpoint(

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from presswork.llm import mix, urlfilter
+from presswork.llm import fingerprint, mix, pack, shard, simhash, topk, urlfilter
 
 QUERIES = {
     "op1_mix_sources": mix.op1_mix_sources,
+    "op3_shard_bytes": shard.op3_shard_bytes,
+    "op4_simhash_dedup": simhash.op4_simhash_dedup,
+    "op6_top_k": topk.op6_top_k,
     "op7_url_filter": urlfilter.op7_url_filter,
+    "op8_fingerprint": fingerprint.op8_fingerprint,
+    "op10_pack": pack.op10_pack,
 }
 ORACLE = {
     "op1_mix_sources": mix.OP1_SQL,
+    "op6_top_k": topk.OP6_SQL,
     "op7_url_filter": urlfilter.OP7_SQL,
 }

@@ -76,15 +76,13 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, url: str =
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     host, path = split_url(F.col("_pw_url"))
     rows = (
-        pages.select(*keep)
-        .withColumn("_pw_url", F.col(url))
+        pages.select(F.struct(*keep).alias("_pw_row"), F.col(url).alias("_pw_url"))
         .withColumn("_pw_id", F.monotonically_increasing_id())
         .withColumns({"_pw_host": host, "_pw_path": path})
         .withColumn("_pw_tokens", F.concat(_tokens(F.col("_pw_host"), F.col("_pw_path")), F.array(F.lit(ANY))))
         .drop("_pw_url")
     )
     index, small = broadcast_if_small(checkpoint(rule_index(rules, rows)))
-    index = index.withColumnsRenamed({"rule": "_pw_rule", "verdict": "_pw_verdict"})
     held = rows.withColumn("_pw_token", F.explode("_pw_tokens")).drop("_pw_tokens")
     if small:
         held = held.join(index, F.col("_pw_token") == F.col("token"), "left")
@@ -93,10 +91,10 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, url: str =
         held = held.withColumn("_pw_mine", F.pmod("_pw_id", F.lit(SALTS))).join(
             salted, (F.col("_pw_token") == F.col("token")) & (F.col("_pw_mine") == F.col("_pw_salt")), "left"
         )
-    fits = F.when(F.col("pattern").isNotNull() & F.expr("concat(_pw_host, _pw_path) rlike pattern"), F.struct(F.col("length"), F.col("_pw_rule").alias("rule"), F.col("_pw_verdict").alias("verdict")))
-    best = held.groupBy("_pw_id").agg(F.max(fits).alias("_pw_best"), *[F.first(c).alias(c) for c in (*keep, "_pw_host", "_pw_path")])
+    fits = F.when(F.col("pattern").isNotNull() & F.expr("concat(_pw_host, _pw_path) rlike pattern"), F.struct("length", "rule", "verdict"))
+    best = held.groupBy("_pw_id").agg(F.max(fits).alias("_pw_best"), *[F.first(c).alias(c) for c in ("_pw_row", "_pw_host", "_pw_path")])
     return best.select(
-        *keep,
+        *[F.col("_pw_row")[c].alias(c) for c in keep],
         F.col("_pw_host").alias("host"),
         F.col("_pw_path").alias("path"),
         F.col("_pw_best.rule").alias("rule"),
