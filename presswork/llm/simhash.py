@@ -282,3 +282,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, component_id)`` by 256-bit fingerprints of five-word shingles."""
     fps = checkpoint(fingerprints(docs, SHINGLE_WIDE, WORDS_WIDE))
     return components(fps, WORDS_WIDE, RADIUS_WIDE, WIDE_VIEWS, exact=False).select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One row of each group of near-duplicates, that with the smallest doc_id, and all rows without doc_id.
+
+    Of rows with equal doc_id and equal fingerprint one stays. Decisions are made on narrow rows; then a row finds out by an equi-join
+    on its generated id, which is unique, whether it stays.
+    """
+    rows = docs.withColumn("_pw_row", F.monotonically_increasing_id())
+    fps = checkpoint(fingerprints(rows.where("doc_id is not null").select("_pw_row", "text"), SHINGLE_WIDE, WORDS_WIDE, "_pw_row"))
+    ids = rows.where("doc_id is not null").select(F.col("_pw_row").alias("doc_id"), F.col("doc_id").alias("_own"))
+    classes = components(fps.withColumnRenamed("_pw_row", "doc_id"), WORDS_WIDE, RADIUS_WIDE, WIDE_VIEWS, exact=False)
+    first = classes.join(ids, "doc_id").groupBy("component_id").agg(F.min(F.struct("_own", "doc_id")).alias("first"))
+    stay = checkpoint(first.select(F.col("first.doc_id").alias("_pw_row")))
+    kept = rows.join(stay, "_pw_row", "left_semi").unionByName(rows.where("doc_id is null"))
+    return kept.select(*docs.columns)
