@@ -13,19 +13,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 from presswork.session import checkpoint
 
 
+_LOW = (1 << 32) - 1
+
+
+def _mix(half: Column) -> Column:
+    return F.hash(half).cast("long").bitwiseAND(F.lit(_LOW))
+
+
 def _scramble(x: Column) -> Column:
-    """A bijection of 64-bit integers (xor-shift)."""
-    x = x.bitwiseXOR(F.shiftleft(x, 13))
-    x = x.bitwiseXOR(F.shiftrightunsigned(x, 7))
-    return x.bitwiseXOR(F.shiftleft(x, 17))
+    """A bijection of 64-bit integers that keeps no order: three Feistel rounds over a hash of one half."""
+    left, right = F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit(_LOW))
+    for _ in range(3):
+        left, right = right, left.bitwiseXOR(_mix(right))
+    return F.shiftleft(left, 32).bitwiseOR(right)
 
 
 def _unscramble(x: Column) -> Column:
-    """The inverse of ``_scramble``: each step is undone by doubling its shift until it passes 64 bits."""
-    for shift, steps in ((F.shiftleft, (17, 34)), (F.shiftrightunsigned, (7, 14, 28, 56)), (F.shiftleft, (13, 26, 52))):
-        for by in steps:
-            x = x.bitwiseXOR(shift(x, by))
-    return x
+    """The inverse of ``_scramble``."""
+    left, right = F.shiftrightunsigned(x, 32), x.bitwiseAND(F.lit(_LOW))
+    for _ in range(3):
+        left, right = right.bitwiseXOR(_mix(left)), left
+    return F.shiftleft(left, 32).bitwiseOR(right)
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
