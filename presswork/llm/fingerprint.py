@@ -33,6 +33,8 @@ from presswork.session import checkpoint
 
 #: 64-bit words of the bitmap of repeated hashes: 8 MB, at any size of the input.
 BITMAP_WORDS = 1 << 20
+#: Parts of a hot bucket that find their first document apart.
+SALTS = 64
 
 
 def canonical(text: str) -> bytes:
@@ -138,7 +140,7 @@ def differing(docs: DataFrame, hashes: DataFrame) -> DataFrame:
     slots = repeated.select(
         F.pmod(head, F.lit(BITMAP_WORDS)).cast("int").alias("w"), F.pmod(F.floor(head / BITMAP_WORDS), F.lit(64)).cast("int").alias("b")
     )
-    found = slots.select("w", F.expr("shiftleft(1L, b)").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()  # at most BITMAP_WORDS rows
+    found = slots.select("w", F.expr("shiftleft(1L, b)").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()  # at most BITMAP_WORDS rows
     bitmap = np.zeros(BITMAP_WORDS, dtype=np.int64)
     bitmap[found["w"].to_numpy()] = found["m"].to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
@@ -158,7 +160,8 @@ def differing(docs: DataFrame, hashes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(hexes, pa.string()), pa.array(forms, pa.binary())], ["row", "bucket", "form"])
 
     held = docs.select("row", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(members, "row long, bucket string, form binary")
-    heads = held.groupBy("bucket").agg(F.min_by("form", "row").alias("head_form")).withColumnRenamed("bucket", "head_bucket")
+    salted = held.groupBy("bucket", F.pmod("row", F.lit(SALTS)).alias("salt")).agg(F.min_by("form", "row").alias("form"), F.min("row").alias("row"))
+    heads = salted.groupBy("bucket").agg(F.min_by("form", "row").alias("head_form")).withColumnRenamed("bucket", "head_bucket")
     return held.join(heads, F.col("bucket") == F.col("head_bucket")).where("form <> head_form").select("row", F.sha2("form", 256).alias("suffix"))
 
 

@@ -195,9 +195,9 @@ def _asker(summed: DataFrame) -> Callable[[np.ndarray, np.ndarray, int], np.ndar
         found = (
             summed.where("ends").select("bytes", "rows").mapInArrow(blocks, "gap long, block long, bytes long, rows long")
             .groupBy("gap", "block").agg(F.max(F.struct("bytes", "rows")).alias("end"), F.count("*").alias("n"))
-            .select("end.bytes", "end.rows", "n").toPandas()
+            .select("end.bytes", "end.rows", "n").toArrow()
         )  # at most BLOCKS rows and one a gap
-        return np.stack([found["bytes"], found["rows"], (found["n"] == 1)], axis=1).astype(np.int64).reshape(-1, 3)
+        return np.stack([found["bytes"], found["rows"], found["n"].to_numpy() == 1], axis=1).astype(np.int64).reshape(-1, 3)
 
     return ask
 
