@@ -18,4 +18,5 @@ def live_hotness(article_count: Column, source_count: Column, median_pub_date: C
 def stored_hotness(article_count: Column, bias_count: Column, median_pub_date: Column, now: Column) -> Column:
     """As above, but by distinct biases, 0 without a date, and rounded to four digits."""
     diversity = F.lit(1.0) + F.lit(0.1) * F.greatest(F.lit(0), bias_count - 1)
-    return F.coalesce(F.round(article_count / hours_between(now, median_pub_date) * diversity, 4), F.lit(0.0))
+    score = F.round(article_count / hours_between(now, median_pub_date) * diversity, 4)
+    return F.when(median_pub_date.isNull(), F.lit(0.0)).otherwise(score)

@@ -82,11 +82,15 @@ def parse_json(noisy: Column, fields: str) -> Column:
     return F.from_json(json_text(noisy), fields, {"allowUnquotedControlChars": "true"})
 
 
+def _date(text: Column) -> Column:
+    """ISO 8601 as it stands; RFC 822 dates without their weekday."""
+    rfc = F.regexp_replace(F.regexp_replace(text, r"^\s*[A-Za-z]{3},\s*", ""), r"(GMT|UTC|UT|Z)\s*$", "+0000")
+    return F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(rfc, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(rfc, F.lit("d MMM yyyy HH:mm Z")))
+
+
 def timestamp_cascade(*texts: Column, default: Column) -> Column:
-    """The first text that is a date, in ISO or RFC 822 form; a missing zone means UTC."""
-    formats = (None, "yyyy-MM-dd'T'HH:mm:ssXXX", "EEE, d MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss Z", "yyyy-MM-dd HH:mm:ss")
-    tries = [F.try_to_timestamp(t, F.lit(f)) if f else F.expr("cast(null as timestamp)") for t in texts for f in formats]
-    return F.coalesce(*[F.try_to_timestamp(t) for t in texts], *tries, default)
+    """The first text that is a date; a missing zone means UTC."""
+    return F.coalesce(*[_date(t) for t in texts], default)
 
 
 def month_key(ts: Column) -> Column:
