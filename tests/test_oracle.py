@@ -50,7 +50,8 @@ def test_query(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE)))
 def test_query_without_sql_runs(spark, name):
-    assert catalogue.QUERIES[name](spark, SF).count() > 0
+    least = 0 if name == "embed_missing" else 1  # at the smallest size every article has its vector
+    assert catalogue.QUERIES[name](spark, SF).count() >= least
 
 
 def test_entry(spark):
