@@ -54,8 +54,8 @@ def stories(articles: DataFrame, keys: list[str], now: Column) -> DataFrame:
         F.min_by("id", "position").alias("first_id"),
         F.min_by("headline", "position").alias("headline"),
         F.count("*").cast("int").alias("article_count"),
-        F.count_distinct(F.coalesce("source_slug", F.lit(""))).cast("int").alias("source_count"),
-        F.count_distinct(bias).cast("int").alias("bias_count"),
+        F.size(F.collect_set(F.coalesce("source_slug", F.lit("")))).alias("source_count"),
+        F.size(F.collect_set(bias)).alias("bias_count"),
         F.array_sort(F.collect_set("source_name")).alias("sources_used"),
         F.array_sort(F.collect_list(F.when(F.coalesce("url", F.lit("")) != "", F.col("url")))).alias("article_urls"),
         upper_median(F.collect_list("pub_date")).alias("median_pub_date"),
