@@ -30,7 +30,7 @@ TOKENS, SEGMENTS, END_ID = 2048, 512, 1
 #: Sequences that a task keeps open.
 POOL = 64
 #: Rows of text in a batch; whole texts of one batch are in memory together.
-BATCH_ROWS = 2000
+BATCH_ROWS = 500
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "row long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -148,6 +148,8 @@ def packer(path: str, tokens: int, segments: int, loss: int | None) -> Callable[
                     # the closing id bears no loss; a copy keeps only this piece's ids alive while it waits
                     p.add((n, n - 1, doc, 0, ids[start:end].copy(), n), _cut_ids)
                     start = end
+                del ids
+                pa.default_memory_pool().release_unused()
                 if len(out) > 10_000:
                     yield rows()
         p.flush(_cut_ids)

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct words that a worker remembers at most.
-CACHE = 300_000
+CACHE = 150_000
 _PLAIN = re.compile("^([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)$")
 _SAMPLES = ["Thtionnd,", "éèêaux", "Ñandú.", "straße", "a", "ÀÉ!?", "ÿ", "über;:"]
 _loaded: dict[str, Words] = {}
