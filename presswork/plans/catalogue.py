@@ -327,8 +327,7 @@ def stories_by_column(spark, sf):
 @query(PREV + " SELECT story_id, col_name, article_count, source_count, is_current, edition FROM syntheses WHERE story_id = (SELECT min(story_id) FROM syntheses)")
 def synthesis_by_id(spark, sf):
     rows = syntheses(spark, sf)
-    wanted = rows.agg(F.min("story_id").alias("wanted"))
-    return rows.join(F.broadcast(wanted), F.col("story_id") == F.col("wanted")).select("story_id", "col_name", "article_count", "source_count", "is_current", "edition")
+    return search.synthesis_by_id(rows, rows.agg(F.min("story_id")).first()[0]).select("story_id", "col_name", "article_count", "source_count", "is_current", "edition")
 
 
 # --- de-duplication and editions ----------------------------------------------------------------------------------------
@@ -467,9 +466,8 @@ def pairwise_cosine_topk(spark, sf):
 SELECT id, round({_COS.format("a.embedding", "q.embedding")}, 6) AS cosine FROM articles a, (SELECT arg_min(embedding, vec_id) AS embedding FROM vectors) q
 WHERE a.embedding IS NOT NULL AND col_name = 'tech' ORDER BY round({_COS.format("a.embedding", "q.embedding")}, 9) DESC, id LIMIT 10""")
 def knn_filtered(spark, sf):
-    first = A.planted_vectors(spark, sf).agg(F.min_by("vector", "vec_id").alias("q"))
-    rows = A.articles(spark, sf).join(F.broadcast(first))
-    return search.knn(rows, F.col("q"), 10, "tech").select("id", _round("cosine"))
+    first = A.planted_vectors(spark, sf).agg(F.min_by("vector", "vec_id")).first()[0]
+    return search.knn(A.articles(spark, sf), F.array(*[F.lit(x) for x in first]), 10, "tech").select("id", _round("cosine"))
 
 
 @query(A.SQL + """
