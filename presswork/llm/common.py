@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from presswork.session import BROADCAST_ROWS
@@ -29,3 +32,12 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> tuple[DataF
     """``df`` with a broadcast hint if a count shows at most ``most`` rows; and whether it has it."""
     small = df.limit(most + 1).count() <= most
     return (F.broadcast(df) if small else df), small
+
+
+def give_back() -> None:
+    """Return a Python worker's freed memory to the system; workers are reused and would keep the peak of an earlier stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass

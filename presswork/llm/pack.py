@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from presswork.llm.common import table
+from presswork.llm.common import give_back, table
 from presswork.llm.tokens import encode
 
 TOKENS, SEGMENTS, END_ID = 2048, 512, 1
@@ -138,6 +138,7 @@ def packer(path: str, tokens: int, segments: int, loss: int | None) -> Callable[
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         p = Packer(close, tokens, segments, loss)
+        give_back()
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
@@ -149,9 +150,9 @@ def packer(path: str, tokens: int, segments: int, loss: int | None) -> Callable[
                     p.add((n, n - 1, doc, 0, ids[start:end].copy(), n), _cut_ids)
                     start = end
                 del ids
-                pa.default_memory_pool().release_unused()
                 if len(out) > 10_000:
                     yield rows()
+            give_back()
         p.flush(_cut_ids)
         yield rows()
 
