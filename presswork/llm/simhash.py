@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from presswork.llm.common import table
+from presswork.llm.common import give_back, table
 from presswork.operators.graph import connected_components
 from presswork.session import checkpoint
 
@@ -110,6 +110,7 @@ def _fingerprint_batches(size: int, words: int, key: str):
                 hashes = np.fromiter((h for x in lists for h in x), np.uint64, int(counts.sum()))
                 made = [majorities(_mixed(hashes, k), counts).view(np.int64) for k in range(words)]
                 yield pa.RecordBatch.from_arrays([part[key], *[pa.array(m) for m in made]], names)
+            give_back()
 
     return run
 
@@ -236,6 +237,7 @@ def _find_links(n_ids: int, radius: int, views: list[tuple[int, int]], exact: bo
             held = rows.slice(cut).to_batches()
         if held:
             yield done(pa.Table.from_batches(held))
+        give_back()
 
     return run
 
