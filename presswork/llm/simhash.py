@@ -11,9 +11,12 @@ what shares its residual (the bits outside the view) or differs there in one bit
 2 in the view; and what is equal in the view and differs in three residual bits is looked up in a table of the residuals. Each
 bucket gives a star for each of its groups, no more rows than it has. Components come from the links (``operators.graph``).
 
-``near_duplicates`` works on 256 bits (shingles of five words): eight views of 25 bits, and verification by the whole fingerprint.
-A pair with similarity s differs in about 256 * acos(2s / (1 + s)) / pi bits, 39 at 0.8; ``RADIUS_WIDE`` is 44. A view catches a
-pair if at most two of its 25 bits differ, so eight views are expected to find 93 % of pairs at 0.8, 97 % at 0.85 and over 99 % from 0.9.
+``near_duplicates`` and ``keep_first`` do without fingerprints: they link texts whose sets of five-word shingles have a Jaccard similarity
+of at least 0.8, exactly. Two such sets share one of the first n - ceil(0.8 n) + 1 shingles of each, in any common order (prefix filter), so
+all pairs that share one and pass bounds on sizes and positions are candidates, and each candidate is verified on the whole sets. In that order
+shingles that a sample shows to be frequent come last, which makes buckets small; no link depends on the sample. Equal sets are one vertex.
+Candidates are verified in two rounds: first at most ``FIRST`` a set, whose links give components; then all candidates between different
+components. So a large group of edited copies is not compared pair by pair, and no component is missed.
 
 Nulls and edges: a null text and a text without words have the fingerprint 0, linked like any other; fewer words than a
 shingle takes make one shingle; repeated rows share a fingerprint; an empty table gives no rows; other columns are ignored.
@@ -29,14 +32,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from presswork.llm.common import give_back, table
+from presswork.llm.common import broadcast_if_small, give_back, table
 from presswork.operators.graph import connected_components
 from presswork.session import checkpoint
 
 SEED = 42
 SHINGLE, RADIUS = 3, 3
-SHINGLE_WIDE, WORDS_WIDE, RADIUS_WIDE = 5, 4, 44
-VIEW_BITS = 25
+SHINGLE_WIDE = 5
+#: Rows whose shingles are counted to find frequent ones, the least count there, and how many are kept at most.
+SAMPLE_ROWS, FREQUENT, MOST_FREQUENT = 10_000, 4, 100_000
+#: Candidates of a set in the first round.
+FIRST = 4
 #: Buckets up to this size are compared pair by pair.
 SMALL = 16
 _ONES = (1 << 64) - 1
@@ -136,9 +142,6 @@ def _variants(views: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
 #: Views of 64 bits for radius 3: two of the three blocks of bits 0-20, 21-41 and 42-63.
 _BLOCKS = ((1 << 21) - 1, ((1 << 21) - 1) << 21, ((1 << 22) - 1) << 42)
 EXACT_VIEWS = [(0, _ONES ^ b) for b in _BLOCKS]
-#: Views of 256 bits: bits 0-24 and 25-49 of each word; the others serve only to verify.
-WIDE_VIEWS = [(w, ((1 << VIEW_BITS) - 1) << at) for w in range(WORDS_WIDE) for at in (0, VIEW_BITS)]
-
 
 def _pop(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
@@ -171,19 +174,7 @@ def _exact_links(fps: np.ndarray, key: int, mask: int) -> Iterator[tuple[np.ndar
             yield centre[there >= 0], there[there >= 0]
 
 
-def _pivot_links(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links within a large bucket: each pivot is compared with all members; those it isn't linked to give the next pivots."""
-    free = np.ones(len(fps), dtype=bool)
-    every = np.arange(len(fps))
-    while free.any():
-        pivot = int(free.argmax())
-        near = every[_distance(fps, every, np.full(len(fps), pivot)) <= radius]
-        free[near] = False
-        free[pivot] = False
-        yield near, np.full(len(near), pivot)
-
-
-def _find_links(n_ids: int, radius: int, views: list[tuple[int, int]], exact: bool):
+def _find_links(n_ids: int, radius: int, views: list[tuple[int, int]]):
     """Reads rows (view, key, id, words) in order of view and key; yields links of ids."""
 
     def links(view: np.ndarray, key: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,8 +193,7 @@ def _find_links(n_ids: int, radius: int, views: list[tuple[int, int]], exact: bo
             right.append(i[ok] + s)
         for at, n in zip(start[length > SMALL], length[length > SMALL]):
             part = fps[at : at + n]
-            found = _exact_links(part, int(key[at]), views[int(view[at])][1]) if exact else _pivot_links(part, radius)
-            for i, j in found:
+            for i, j in _exact_links(part, int(key[at]), views[int(view[at])][1]):
                 left.append(at + i)
                 right.append(at + j)
         i, j = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (left, right))
@@ -242,7 +232,7 @@ def _find_links(n_ids: int, radius: int, views: list[tuple[int, int]], exact: bo
     return run
 
 
-def links(fps: DataFrame, words: int, radius: int, views: list[tuple[int, int]], exact: bool) -> DataFrame:
+def links(fps: DataFrame, words: int, radius: int, views: list[tuple[int, int]]) -> DataFrame:
     """Links ``(src, dst)`` between distinct fingerprints ``(id, w0, ...)`` that differ in at most ``radius`` bits."""
     names = [f"w{k}" for k in range(words)]
     emitted = F.inline(F.array(*[F.struct(F.lit(v).cast("byte").alias("view"), F.lit(w).alias("word"), F.lit(m).cast("long").alias("mask"), F.lit(f).cast("long").alias("flip")) for v, w, m, f in _variants(views)]))
@@ -253,10 +243,10 @@ def links(fps: DataFrame, words: int, radius: int, views: list[tuple[int, int]],
         .repartition("view", "key")
         .sortWithinPartitions("view", "key", "id")
     )
-    return rows.mapInArrow(_find_links(words, radius, views, exact), "src long, dst long")
+    return rows.mapInArrow(_find_links(words, radius, views), "src long, dst long")
 
 
-def components(fps: DataFrame, words: int = 1, radius: int = RADIUS, views: list[tuple[int, int]] | None = None, exact: bool = True) -> DataFrame:
+def components(fps: DataFrame, words: int = 1, radius: int = RADIUS, views: list[tuple[int, int]] | None = None) -> DataFrame:
     """``(doc_id, w0.., component_id)``: the smallest doc_id reachable over links; copies of a fingerprint are linked to one another.
 
     ``fps`` is read more than once and should be a checkpoint.
@@ -268,7 +258,7 @@ def components(fps: DataFrame, words: int = 1, radius: int = RADIUS, views: list
     else:
         each = each.withColumn("id", F.col("first"))
     each = checkpoint(each)
-    joined = connected_components(links(each.select("id", *names), words, radius, views or EXACT_VIEWS, exact))
+    joined = connected_components(links(each.select("id", *names), words, radius, views or EXACT_VIEWS))
     classes = each.join(joined, each.id == joined.node, "left").select(*names, "first", F.coalesce("component", "id").alias("class"))
     lowest = classes.groupBy("class").agg(F.min("first").alias("component_id"))
     named = classes.join(lowest, "class").select(*[F.col(n).alias(f"_{n}") for n in names], "component_id")
@@ -280,23 +270,188 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(fps).select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# --- near-duplicates by shingle sets ------------------------------------------------------------------------------------
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Distinct hashes of the five-word shingles, in ascending order."""
+    return np.unique(np.array(shingle_hashes(text, SHINGLE_WIDE), dtype=np.uint64).view(np.int64))
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            sets = pa.array([shingle_set(t) for t in part["text"].to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part["_pw_row"], sets], ["id", "s"])
+        give_back()
+
+
+def prefix_length(n: int) -> int:
+    """How many first shingles of a set of n must be looked up, so that no set with a similarity of 0.8 is missed."""
+    return n - (4 * n + 4) // 5 + 1 if n else 0
+
+
+def _prefixes(frequent: np.ndarray, ranks: np.ndarray):
+    """Digest, size and prefix of each row's set; ``frequent`` shingles (ascending) come last, by ``ranks``."""
+
+    def one(s: np.ndarray) -> tuple[int, int, int, np.ndarray]:
+        digest = xxhash.xxh128_intdigest(s.tobytes(), SEED)
+        order = s
+        if len(frequent):
+            at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+            order = s[np.lexsort((s, np.where(frequent[at] == s, ranks[at], 0)))]
+        return _signed(digest & _ONES), _signed(digest >> 64), len(s), order[: prefix_length(len(s))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                low, high, n, prefix = zip(*[one(shingle_set(t)) for t in part["text"].to_pylist()])
+                yield pa.RecordBatch.from_arrays(
+                    [part["_pw_row"], pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(n, pa.int32()), pa.array(list(prefix), pa.list_(pa.int64()))],
+                    ["id", "low", "high", "n", "prefix"],
+                )
+            give_back()
+
+    return run
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in order of ``token``, in portions that end where a bucket ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(x.num_rows for x in held) < 50_000 or batch["token"][0] == batch["token"][-1]:
+            continue
+        rows = pa.Table.from_batches(held)
+        token = rows["token"].to_numpy()
+        cut = int(np.flatnonzero(token != token[-1])[-1]) + 1
+        yield rows.slice(0, cut)
+        held = rows.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _spans(token: np.ndarray) -> Iterator[tuple[int, int]]:
+    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    length = np.diff(np.append(start, len(token)))
+    yield from zip(start[length > 1].tolist(), (start + length)[length > 1].tolist())
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that are not alone in their bucket."""
+    for rows in _whole_buckets(batches):
+        token = rows["token"].to_numpy()
+        same = token[1:] == token[:-1]
+        yield from rows.filter(pa.array(np.append(same, False) | np.insert(same, 0, False))).to_batches()
+
+
+def _possible(n: np.ndarray, at: np.ndarray, i, j) -> np.ndarray:
+    """Whether sizes and positions of a shared shingle allow a similarity of 0.8: 9 * overlap >= 4 * (sum of sizes)."""
+    most = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j])
+    return (np.minimum(most, np.minimum(n[i], n[j])) * 9 >= 4 * (n[i] + n[j]))
+
+
+def _pair_batch(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
+    a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (left, right))
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """First candidates: the next possible of three in a bucket's own random order, as many pairs as three times the rows at most."""
+    for rows in _whole_buckets(batches):
+        token, ids, n, at = (rows[c].to_numpy().astype(np.int64) for c in ("token", "id", "n", "at"))
+        left, right = [], []
+        for step in (1, 2, 3):
+            i = np.flatnonzero(token[step:] == token[:-step])
+            i = i[_possible(n, at, i, i + step)]
+            left.append(ids[i])
+            right.append(ids[i + step])
+        yield _pair_batch(left, right)
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All possible pairs of a bucket that are not in one component."""
+    for rows in _whole_buckets(batches):
+        token, ids, n, at, label = (rows[c].to_numpy().astype(np.int64) for c in ("token", "id", "n", "at", "label"))
+        left, right, made = [], [], 0
+        for low, high in _spans(token):
+            if (label[low:high] == label[low]).all():
+                continue
+            for i in range(low, high - 1):
+                j = np.arange(i + 1, high)
+                j = j[(label[j] != label[i])]
+                j = j[_possible(n, at, i, j)]
+                if len(j):
+                    left.append(np.full(len(j), ids[i]))
+                    right.append(ids[j])
+                    made += len(j)
+                if made > 500_000:
+                    yield _pair_batch(left, right)
+                    left, right, made = [], [], 0
+        yield _pair_batch(left, right)
+
+
+def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs ``(a, b)`` whose whole shingle sets have a similarity of at least 0.8, as ``(src, dst)``."""
+    ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("_pw_row")).distinct())
+    few, _ = broadcast_if_small(ids)
+    sets = checkpoint(rows.join(few, "_pw_row", "left_semi").select("_pw_row", "text").mapInArrow(_sets, "id long, s array<long>"))
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    near = F.size(F.array_intersect("sa", "sb")) * 9 >= 4 * (F.size("sa") + F.size("sb"))
+    return checkpoint(both.where(near).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+
+def near_components(rows: DataFrame) -> DataFrame:
+    """``(id, component)`` of all rows ``(_pw_row, text)``; a component is named by its smallest id. Rows must come again alike when read again."""
+    total = rows.count()
+    sample = rows.where(F.pmod(F.xxhash64("_pw_row"), F.lit(max(1, total // SAMPLE_ROWS))) == 0).select("_pw_row", "text")
+    counted = sample.mapInArrow(_sets, "id long, s array<long>").select(F.explode("s").alias("token")).groupBy("token").count().where(F.col("count") >= FREQUENT)
+    top = counted.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).orderBy("token").toArrow()  # bounded
+    frequent, ranks = top["token"].to_numpy(), top["count"].to_numpy()
+    signed = rows.select("_pw_row", "text").mapInArrow(_prefixes(frequent, ranks), "id long, low long, high long, n int, prefix array<long>")
+    signed = checkpoint(signed)
+    each = checkpoint(signed.groupBy("low", "high").agg(F.min("id").alias("first")))
+    single = signed.join(each.select(F.col("first").alias("id")), "id", "left_semi")
+    met = checkpoint(
+        single.select("id", "n", F.posexplode("prefix").alias("at", "token"))
+        .repartition("token").sortWithinPartitions("token", F.xxhash64("token", "id"))
+        .mapInArrow(_met, "id long, n int, at int, token long")
+    )
+    some = met.mapInArrow(_neighbours, "a long, b long").groupBy("a").agg(F.collect_set("b").alias("bs"))
+    chosen = F.slice(F.array_sort(F.transform("bs", lambda b: F.struct(F.xxhash64("a", b).alias("h"), b.alias("b")))), 1, FIRST)
+    first = _verified(rows, checkpoint(some.select("a", F.explode(chosen).alias("x")).select("a", "x.b")))
+    found = connected_components(first).select(F.col("node").alias("id"), "component")
+    labelled = met.join(checkpoint(found), "id", "left").select("id", "n", "at", "token", F.coalesce("component", "id").alias("label"))
+    rest = labelled.repartition("token").sortWithinPartitions("token").mapInArrow(_across, "a long, b long").distinct()
+    second = _verified(rows, checkpoint(rest))
+    joined = connected_components(first.unionByName(second))
+    named = each.join(joined, each["first"] == joined.node, "left").select("low", "high", F.coalesce("component", "first").alias("component"))
+    return checkpoint(signed.select("id", "low", "high").join(named, ["low", "high"]).select("id", "component"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``(doc_id, component_id)`` by 256-bit fingerprints of five-word shingles."""
-    fps = checkpoint(fingerprints(docs, SHINGLE_WIDE, WORDS_WIDE))
-    return components(fps, WORDS_WIDE, RADIUS_WIDE, WIDE_VIEWS, exact=False).select("doc_id", "component_id")
+    """``(doc_id, component_id)``: the smallest doc_id reachable over pairs with a similarity of 0.8 of five-word shingle sets."""
+    rows = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_pw_row", F.monotonically_increasing_id()))
+    own = near_components(rows).join(rows.select(F.col("_pw_row").alias("id"), "doc_id"), "id")
+    lowest = own.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return own.join(lowest, "component").select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates, that with the smallest doc_id, and all rows without doc_id.
 
-    Of rows with equal doc_id and equal fingerprint one stays. Decisions are made on narrow rows; then a row finds out by an equi-join
+    Of rows with equal doc_id and equal text one stays. Decisions are made on narrow rows; then a row finds out by an equi-join
     on its generated id, which is unique, whether it stays.
     """
     rows = docs.withColumn("_pw_row", F.monotonically_increasing_id())
-    fps = checkpoint(fingerprints(rows.where("doc_id is not null").select("_pw_row", "text"), SHINGLE_WIDE, WORDS_WIDE, "_pw_row"))
-    ids = rows.where("doc_id is not null").select(F.col("_pw_row").alias("doc_id"), F.col("doc_id").alias("_own"))
-    classes = components(fps.withColumnRenamed("_pw_row", "doc_id"), WORDS_WIDE, RADIUS_WIDE, WIDE_VIEWS, exact=False)
-    first = classes.join(ids, "doc_id").groupBy("component_id").agg(F.min(F.struct("_own", "doc_id")).alias("first"))
-    stay = checkpoint(first.select(F.col("first.doc_id").alias("_pw_row")))
+    ids = rows.where("doc_id is not null").select(F.col("_pw_row").alias("id"), F.col("doc_id").alias("_own"))
+    classes = near_components(rows.where("doc_id is not null").select("_pw_row", "text"))
+    first = classes.join(ids, "id").groupBy("component").agg(F.min(F.struct("_own", "id")).alias("first"))
+    stay = checkpoint(first.select(F.col("first.id").alias("_pw_row")))
     kept = rows.join(stay, "_pw_row", "left_semi").unionByName(rows.where("doc_id is null"))
     return kept.select(*docs.columns)

@@ -194,3 +194,49 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in seen[3].collect()} == {r.doc_id for r in seen[2].collect()}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     assert mix.WEIGHTS == (3, 1, 2) and pack.TOKENS == 2048
+
+
+def brute_near(texts):
+    """The smallest position reachable over pairs of whole five-word shingle sets with a similarity of 0.8."""
+    sets = [frozenset(zip(*[t.split()[k:] for k in range(5)])) for t in texts]
+    parent = list(range(len(sets)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    pairs = set()
+    for b in range(len(sets)):
+        for a in range(b):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                pairs.add((a, b))
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return [root(k) for k in range(len(sets))], pairs
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for at in rng.sample(range(len(words)), n):
+        out[at] = f"new{rng.getrandbits(40)}"
+    return out
+
+
+def test_near_duplicates_have_no_blind_spot(spark):
+    """Pairs with similarities around 0.8, a third of them with a passage in common."""
+    rng = random.Random(11)
+    passage = [f"p{k}" for k in range(40)]
+    texts = []
+    for k in range(150):
+        words = [f"w{rng.randint(0, 4000)}" for _ in range(rng.randint(120, 300))]
+        if k % 3 == 0:
+            words = passage + words
+        texts += [words, edited(rng, words, max(1, round(len(words) * rng.uniform(0.013, 0.037))))]
+    texts = [" ".join(t) for t in texts]
+    rows = list(enumerate(texts))
+    random.Random(1).shuffle(rows)
+    want, pairs = brute_near(texts)
+    assert sum(a % 2 == 0 and b == a + 1 and a < 300 for a, b in pairs) not in (0, 150)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(texts))] == want
