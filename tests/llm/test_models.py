@@ -240,3 +240,18 @@ def test_near_duplicates_have_no_blind_spot(spark):
     assert sum(a % 2 == 0 and b == a + 1 and a < 300 for a, b in pairs) not in (0, 150)
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[k] for k in range(len(texts))] == want
+
+
+def test_wide_groups_keep_all_links(spark):
+    """120 edited copies whose base drifts: most share shingles with dozens of others, and many are linked only over others."""
+    rng = random.Random(12)
+    base, texts = [f"b{rng.randint(0, 4000)}" for _ in range(250)], []
+    for _ in range(120):
+        texts.append(" ".join(edited(rng, base, rng.randint(2, 5))))
+        base = edited(rng, base, 1)
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    want, pairs = brute_near(texts)
+    assert 120 < len(pairs) < 119 * 60
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(texts))] == want
