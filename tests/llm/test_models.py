@@ -255,3 +255,19 @@ def test_wide_groups_keep_all_links(spark):
     assert 120 < len(pairs) < 119 * 60
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[k] for k in range(len(texts))] == want
+
+
+def test_long_trusted_row_leaves_others_in_the_sample(spark):
+    """A trusted row of more than the whole sample, first in the order of hashes, must not empty the sample."""
+    rows, labels = corpus(random.Random(1))
+    first = spark.range(1000, 5000).selectExpr("id", "xxhash64(id) h").where("pmod(h, 2) = 0").orderBy("h").first().id
+    text = (sentence(random.Random(3), 2000) + " ") * (quality.SAMPLE_CHARS // 8000 + 1)
+    assert len(text) > quality.SAMPLE_CHARS
+    docs = spark.createDataFrame([*rows, (first, text, "en", "s0", len(text), 1, "x")], DOCS)
+    marks = spark.createDataFrame([*labels, (first, 1, 0)], "doc_id long, quality int, toxic int")
+    trusted = quality.trusted_ids(marks)
+    assert quality._sample_ids(docs, trusted).count() > 20
+    kept = {r.doc_id for r in quality.keep_good(docs, marks).select("doc_id").collect()}
+    assert first in kept and not any(k in kept for k in range(160, 200))
+    odd = spark.range(5000).where("pmod(xxhash64(id), 2) = 1").first().id
+    assert quality._sample_ids(docs.where(f"doc_id = {odd}").unionByName(spark.createDataFrame([(odd, "a b", "en", "s0", 3, 1, "x")], DOCS)), spark.createDataFrame([(odd,)], "doc_id long")).count() == 1
