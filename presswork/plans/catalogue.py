@@ -249,10 +249,16 @@ def page_context(spark, sf):
 
 @query("""SELECT doc_id, 'H' || doc_id AS headline, replace(substr(text, 1, 200), '"', '') AS article FROM documents""")
 def parse_model_json(spark, sf):
-    """Fenced answers with thinking, preambles and raw line breaks, made from the texts."""
-    body = F.regexp_replace(F.regexp_replace(F.substring("text", 1, 200), '"', ""), r"\\", r"\\\\")
+    """Fenced answers with thinking, preambles and raw line breaks, made from the texts and parsed whole; the SQL shows 200 characters of each."""
+    parsed = parsed_answers(A.table(spark, sf, "documents"))
+    return parsed.select("doc_id", "headline", F.regexp_replace(F.substring("article", 1, 200), '"', "").alias("article"))
+
+
+def parsed_answers(docs):
+    """``doc_id, headline, article`` of answers that hold each whole text, with quotes and backslashes escaped."""
+    body = F.regexp_replace("text", r'(["\\])', r"\\$1")
     raw = F.concat(F.lit("<think>{no}</think>\nSure:\n```json\n{\"headline\": \"H"), F.col("doc_id").cast("string"), F.lit('", "article": "'), body, F.lit('"}\n```'))
-    return A.table(spark, sf, "documents").select("doc_id", X.parse_json(raw, "headline string, article string").alias("j")).select("doc_id", "j.headline", "j.article")
+    return docs.select("doc_id", X.parse_json(raw, "headline string, article string").alias("j")).select("doc_id", "j.headline", "j.article")
 
 
 # --- stories and pages --------------------------------------------------------------------------------------------------

@@ -277,3 +277,12 @@ def test_engine_cycle(spark, tmp_path):
     assert e.syntheses().count() == flagged.where("keep").count()
     e.export("syntheses", str(tmp_path / "dump"), "story_id")
     assert e.import_("copy", str(tmp_path / "dump")) == e.syntheses().count()
+
+
+def test_parse_model_json_parses_whole_texts(spark):
+    from presswork.plans import catalogue
+
+    texts = ["short", 'say "hi" \\ and {"a": 1}\nnext\tline ' * 30 + "the end", "x" * 5000, "", 'ends in a backslash \\']
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.headline, r.article) for r in catalogue.parsed_answers(docs).collect()}
+    assert got == {k: (f"H{k}", t) for k, t in enumerate(texts)}
