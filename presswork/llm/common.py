@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from presswork.session import BROADCAST_ROWS
+from presswork.session import BROADCAST_ROWS, checkpoint
 
+#: Rows of a single long, such as generated ids, that are broadcast at most (about 24 MB as a hash table).
+BROADCAST_IDS = 1_000_000
 #: One word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -34,6 +38,37 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> tuple[DataF
     return (F.broadcast(df) if small else df), small
 
 
+def numbered(docs: DataFrame, name: str = "_pw_row") -> DataFrame:
+    """``docs`` with a generated id that is the same whenever the frame is read again.
+
+    A scan or a checkpoint repeats its rows in the same partitions; what comes out of a shuffle may not once an executor is lost, so it is
+    written first.
+    """
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs = checkpoint(docs)
+    return docs.withColumn(name, F.monotonically_increasing_id())
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str = "_pw_row") -> DataFrame:
+    """Rows whose id is not among ``gone`` (distinct longs): broadcast if few, else an equi-join on unique ids."""
+    few, _ = broadcast_if_small(gone, BROADCAST_IDS)
+    return rows.join(few, key, "left_anti")
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows whose ``column`` has about ``most`` bytes; a longer row is a run of its own."""
+    for batch in batches:
+        at, held = 0, 0
+        sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_pylist()
+        for k, n in enumerate(sizes):
+            if held and held + n > most:
+                yield batch.slice(at, k - at)
+                at, held = k, 0
+            held += n
+        if at < batch.num_rows:
+            yield batch.slice(at)
+
+
 def give_back() -> None:
     """Return a Python worker's freed memory to the system; workers are reused and would keep the peak of an earlier stage."""
     pa.default_memory_pool().release_unused()

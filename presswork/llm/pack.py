@@ -6,11 +6,15 @@ relative to its limit, is largest; whole sequences are cut off long examples fir
 pool is full, the fullest one is topped up with a part cut from the piece and closed. At a task's end, what is open is
 laid end to end and cut anew, so a task leaves at most one short sequence behind, unless another limit than tokens binds.
 
-No row leaves its task: there is no shuffle, and memory is one batch and the pool. Sequence numbers hold the task's number in their
+Instruction data: with a ``prompt`` column an example is its prompt's ids, then its text's ids and the closing id, and only the latter two bear
+loss. ``instruction_examples`` makes such rows from conversations.
+
+No row leaves its task: there is no shuffle, and memory is one batch, about ``SLICE_BYTES`` of text being tokenized, and the pool. Sequence numbers hold the task's number in their
 upper bits. A retry repeats them, because a task reads the same rows in the same order.
 
 Nulls and edges: a null text is empty and has just the closing id; null or repeated doc_ids are ordinary rows; an empty
-table gives no rows; other columns are ignored. Examples longer than a sequence are cut, never dropped.
+table gives no rows; other columns are ignored. Examples longer than a sequence are cut, never dropped. Of sequences with equal products the
+one opened first takes the piece.
 """
 
 from __future__ import annotations
@@ -23,16 +27,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from presswork.llm.common import give_back, table
+from presswork.llm.common import give_back, slices, table
 from presswork.llm.tokens import encode
 
 TOKENS, SEGMENTS, END_ID = 2048, 512, 1
 #: Sequences that a task keeps open.
 POOL = 64
-#: Rows of text in a batch; whole texts of one batch are in memory together.
-BATCH_ROWS = 500
+#: Bytes of text that are tokenized together; a longer text is taken alone.
+SLICE_BYTES = 4 << 20
 TOKENIZER = "word_bpe_49k.json"
-PIECES = "row long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"]
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -114,12 +118,13 @@ class Packer:
 
 
 def _cut_ids(piece: tuple, n: int) -> tuple[tuple, tuple]:
-    """Cut a piece ``(tokens, loss, row, start, checksum source, doc tokens)`` whose ids all bear loss."""
+    """Cut a piece ``(tokens, loss, row, start, ids, doc tokens)``; its first ``tokens - loss`` ids bear no loss."""
     tokens, loss, row, start, ids, total = piece
-    return (n, min(loss, n), row, start, ids[:n], total), (tokens - n, max(0, loss - n), row, start + n, ids[n:], total)
+    bare = min(tokens - loss, n)
+    return (n, n - bare, row, start, ids[:n], total), (tokens - n, loss - (n - bare), row, start + n, ids[n:], total)
 
 
-def packer(path: str, tokens: int, segments: int, loss: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def packer(path: str, tokens: int, segments: int, loss: int | None, prompts: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def pack_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         base, made, out = (context.partitionId() if context else 0) << 32, 0, []
@@ -127,43 +132,62 @@ def packer(path: str, tokens: int, segments: int, loss: int | None) -> Callable[
         def close(pieces: list[tuple]) -> None:
             nonlocal made
             offset = 0
-            for n, _, row, start, ids, total in pieces:
-                out.append((row, start, n, zlib.crc32(ids.tobytes()), total, base + made, offset))
+            for n, bears, row, start, ids, total in pieces:
+                out.append((row, start, n, zlib.crc32(ids.tobytes()), total, base + made, offset, bears))
                 offset += n
             made += 1
 
         def rows() -> pa.RecordBatch:
-            columns = list(zip(*out)) if out else [[]] * 7
+            columns = list(zip(*out)) if out else [[]] * len(_NAMES)
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _NAMES)
 
         p = Packer(close, tokens, segments, loss)
         give_back()
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
-                ids, ends = encode(part["text"], path, END_ID)
-                ids, start = ids.astype("<u4"), 0
-                for doc, end in zip(part["doc_id"].to_pylist(), ends.tolist()):
-                    n = end - start
-                    # the closing id bears no loss; a copy keeps only this piece's ids alive while it waits
-                    p.add((n, n - 1, doc, 0, ids[start:end].copy(), n), _cut_ids)
-                    start = end
-                del ids
-                if len(out) > 10_000:
-                    yield rows()
-            give_back()
+        for part in slices(batches, "text", SLICE_BYTES):
+            ids, ends = encode(part["text"], path, END_ID)
+            bare = np.zeros(len(ends), dtype=np.int64)
+            if prompts:
+                heads, head_ends = encode(part["prompt"], path)
+                bare = np.diff(head_ends, prepend=0)
+                ids, ends = np.insert(ids, np.repeat(np.concatenate([[0], ends[:-1]]), bare), heads), ends + head_ends
+            ids, start = ids.astype("<u4", copy=False), 0
+            for doc, end, without in zip(part["doc_id"].to_pylist(), ends.tolist(), bare.tolist()):
+                n = end - start
+                # a copy keeps only this piece's ids alive while it waits
+                p.add((n, n - without, doc, 0, ids[start:end].copy(), n), _cut_ids)
+                start = end
+            del ids
+            if len(out) > 10_000:
+                yield rows()
         p.flush(_cut_ids)
         yield rows()
+        give_back()
 
     return pack_task
 
 
-def pack(docs: DataFrame, path: str | None = None, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int | None = None) -> DataFrame:
-    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
-    schema = PIECES.replace("row long", "doc_id long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(packer(path or tokenizer_path(), tokens, segments, loss), schema)
+def pack(docs: DataFrame, path: str | None = None, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int | None = None, prompt: str | None = None) -> DataFrame:
+    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens``.
+
+    ``prompt`` names a column of text in front of each text that bears no loss; without it all ids bear loss.
+    """
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    if prompt is not None:
+        columns.append(F.col(prompt).cast("string").alias("prompt"))
+    schema = ", ".join(f"{name} long" for name in _NAMES)
+    return docs.select(*columns).mapInArrow(packer(path or tokenizer_path(), tokens, segments, loss, prompt is not None), schema)
+
+
+def instruction_examples(conversations: DataFrame) -> DataFrame:
+    """``(doc_id, turn, prompt, text)``: each assistant turn with the turn before it.
+
+    An equi-join on (conversation, turn), so a conversation of any length is spread over tasks. Of repeated turns the smallest text is the
+    prompt; a turn without a predecessor has a null prompt; turns with a null conversation or number have no prompt either.
+    """
+    before = conversations.groupBy(F.col("conv_id").alias("_pw_conv"), (F.col("turn") + 1).alias("_pw_turn")).agg(F.min("text").alias("prompt"))
+    own = conversations.where("role = 'assistant'").select(F.col("conv_id").alias("doc_id"), "turn", "text")
+    return own.join(before, (F.col("doc_id") == F.col("_pw_conv")) & (F.col("turn") == F.col("_pw_turn")), "left").select("doc_id", "turn", "prompt", "text")
 
 
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
