@@ -6,14 +6,16 @@ form that differs gets the hash plus its SHA-256, so that two forms never share
 is 1 if they are equal and 0 if not.
 
 Comparing reads the texts again but moves few: a bitmap of fixed size, filled with the hashes that occur more than once,
-lets only such documents through to the shuffle (a false hit costs a comparison, never a result). Hot buckets are skewed
-equi-joins with one representative, which adaptive execution splits.
+lets only such documents through to the shuffle (a false hit costs a comparison, never a result). Each bucket is dealt to ``SALTS`` parts, where
+a document is compared with the part's first; the parts' firsts are then compared with the bucket's first. So a hot bucket is no single
+task's work, and the second shuffle has at most ``SALTS`` rows of a bucket.
 
 The edited text takes from the next document, in descending doc_id. Documents are dealt by ranges of doc_id, each text moved once,
 and the first document of a range is also sent to the range before it.
 
 Nulls and edges: a null text is an empty one; equal doc_ids are ordered by the text's hash; null doc_ids come last in
-descending order; repeated rows follow each other; a lone document follows itself; an empty table gives no rows.
+descending order; repeated rows follow each other; a lone document follows itself; very long texts are one value each, compared whole; an empty
+table gives no rows. White space is what Unicode says, U+001C to U+001F included, for ASCII texts as for others.
 """
 
 from __future__ import annotations
@@ -28,19 +30,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from presswork.llm.common import table
+from presswork.llm.common import numbered, table
 from presswork.session import checkpoint
 
 #: 64-bit words of the bitmap of repeated hashes: 8 MB, at any size of the input.
 BITMAP_WORDS = 1 << 20
-#: Parts of a hot bucket that find their first document apart.
+#: Parts of a bucket.
 SALTS = 64
 
 
 def canonical(text: str) -> bytes:
     """The folded form: NFKC, case folding, white space to single blanks, none at the ends."""
     if text.isascii():
-        return b" ".join(text.lower().encode().split())
+        return " ".join(text.lower().split()).encode()
     folded = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
     return " ".join(folded.split()).encode("utf-8", "surrogatepass")
 
@@ -102,9 +104,9 @@ def _judged(own: tuple, following: tuple) -> tuple:
 
 
 def edited(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """Per document: the hashes of its text and of the text edited with the next document, and their likenesses; ``row`` is its id."""
+    """Per document (``doc_id, text, row``): the hashes of its text and of the text edited with the next document, and their likenesses."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "row")
     ids = checkpoint(rows.select("doc_id", F.xxhash64("text").alias("tie"), "row"))
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     edges = _ranges(ids, parts)
@@ -160,21 +162,58 @@ def differing(docs: DataFrame, hashes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(hexes, pa.string()), pa.array(forms, pa.binary())], ["row", "bucket", "form"])
 
     held = docs.select("row", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(members, "row long, bucket string, form binary")
-    salted = held.groupBy("bucket", F.pmod("row", F.lit(SALTS)).alias("salt")).agg(F.min_by("form", "row").alias("form"), F.min("row").alias("row"))
-    heads = salted.groupBy("bucket").agg(F.min_by("form", "row").alias("head_form")).withColumnRenamed("bucket", "head_bucket")
-    return held.join(heads, F.col("bucket") == F.col("head_bucket")).where("form <> head_form").select("row", F.sha2("form", 256).alias("suffix"))
+    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
+    dealt = held.withColumn("salt", salt).repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "row")
+    firsts = dealt.mapInArrow(_against_first(["bucket", "salt"], True), "bucket string, salt int, row long, form binary, first boolean")
+    gathered = firsts.repartition("bucket").sortWithinPartitions("bucket", "row")
+    apart = checkpoint(gathered.mapInArrow(_against_first(["bucket"], False), "bucket string, salt int, row long, form binary, first boolean"))
+    if apart.isEmpty():
+        return apart.select("row", F.lit("").alias("suffix"))
+    # the members of a part whose first differs from the bucket's first, as far as they equal the part's first
+    heads = apart.where("first").select(F.col("bucket").alias("a_bucket"), F.col("salt").alias("a_salt"), F.sha2("form", 256).alias("suffix"))
+    others = checkpoint(firsts.where("not first").select("row", "form"))
+    in_part = hashes.select("row", F.col("fingerprint").alias("bucket")).withColumn("salt", salt)
+    alike = in_part.join(heads, (F.col("bucket") == F.col("a_bucket")) & (F.col("salt") == F.col("a_salt"))).join(others, "row", "left_anti")
+    return alike.select("row", "suffix").unionByName(apart.where("not first").select("row", F.sha2("form", 256).alias("suffix")))
+
+
+def _against_first(keys: list[str], keep_first: bool):
+    """Of rows in order of ``keys``: the first of each run (if ``keep_first``), and all whose form differs from its."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, form = None, b""
+        for batch in batches:
+            chosen, first = [], []
+            forms = batch["form"]
+            for k, key in enumerate(zip(*(batch[c].to_pylist() for c in keys))):
+                own = forms[k].as_py()
+                if key != now:
+                    now, form = key, own
+                    if keep_first:
+                        chosen.append(k)
+                        first.append(True)
+                elif own != form:
+                    chosen.append(k)
+                    first.append(False)
+            rows = batch.take(pa.array(chosen, pa.int64()))
+            was = pa.array(first, pa.bool_()) if keep_first else rows["first"]
+            yield pa.RecordBatch.from_arrays([rows["bucket"], rows["salt"], rows["row"], rows["form"], was], ["bucket", "salt", "row", "form", "first"])
+
+    return run
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Documents with their exact fingerprints and those of their edited texts."""
-    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    judged = checkpoint(edited(docs))
+    rows = numbered(docs.select("doc_id", "text"), "row")
+    judged = checkpoint(edited(rows))
     apart = checkpoint(differing(rows, judged.select("row", "fingerprint")).withColumnRenamed("row", "apart_row"))
     if apart.isEmpty():
         return judged.drop("row")
+    own = F.concat_ws("-", "fingerprint", "suffix")
     return judged.join(apart, F.col("row") == F.col("apart_row"), "left").select(
-        "doc_id", "n_chars", "edited_sha256", F.concat_ws("-", "fingerprint", "suffix").alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next"
-    )
+        "doc_id", "n_chars", "edited_sha256", own.alias("fingerprint"), F.when(F.col("near_edited") == 1, own).otherwise(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        "near_edited", "near_next",
+    )
 
 
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

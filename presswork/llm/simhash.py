@@ -16,7 +16,10 @@ of at least 0.8, exactly. Two such sets share one of the first n - ceil(0.8 n) +
 all pairs that share one and pass bounds on sizes and positions are candidates, and each candidate is verified on the whole sets. In that order
 shingles that a sample shows to be frequent come last, which makes buckets small; no link depends on the sample. Equal sets are one vertex.
 Candidates are verified in two rounds: first at most ``FIRST`` a set, whose links give components; then all candidates between different
-components. So a large group of edited copies is not compared pair by pair, and no component is missed.
+components. So a large group of edited copies is not compared pair by pair, and no component is missed. Each round first compares parity
+sketches: a set of n has at least n bits, the k-th being the parity of how many shingles fall on k. Each shingle that only one of two sets has
+flips one bit, so two sketches never differ in more bits than the sets differ in shingles; a pair whose sketches differ in more than similarity
+0.8 allows is no link, and only the pairs that remain fetch whole sets.
 
 Nulls and edges: a null text and a text without words have the fingerprint 0, linked like any other; fewer words than a
 shingle takes make one shingle; repeated rows share a fingerprint; an empty table gives no rows; other columns are ignored.
@@ -32,7 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from presswork.llm.common import broadcast_if_small, give_back, table
+from presswork.llm.common import BROADCAST_IDS, broadcast_if_small, give_back, numbered, slices, table, without
 from presswork.operators.graph import connected_components
 from presswork.session import checkpoint
 
@@ -279,12 +282,28 @@ def shingle_set(text: str | None) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            part = batch.slice(at, 200)
-            sets = pa.array([shingle_set(t) for t in part["text"].to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part["_pw_row"], sets], ["id", "s"])
-        give_back()
+    for part in slices(batches, "text", 1 << 20):
+        sets = pa.array([shingle_set(t) for t in part["text"].to_pylist()], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([part["_pw_row"], sets], ["id", "s"])
+    give_back()
+
+
+def parity_sketch(s: np.ndarray) -> bytes:
+    """As many bits as the power of two from the set's size on (64 at least), each the parity of the hashes that fall on it."""
+    m = max(64, 1 << max(0, len(s) - 1).bit_length())
+    odd = np.bincount(s & (m - 1), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """Differing bits, after the longer sketch is folded to the size of the shorter: never more than the sets differ in elements."""
+    if len(a) < len(b):
+        a, b = b, a
+    n, x = len(a), int.from_bytes(a, "little")
+    while n > len(b):
+        n //= 2
+        x = (x >> 8 * n) ^ (x & ((1 << 8 * n) - 1))
+    return (x ^ int.from_bytes(b, "little")).bit_count()
 
 
 def prefix_length(n: int) -> int:
@@ -293,26 +312,24 @@ def prefix_length(n: int) -> int:
 
 
 def _prefixes(frequent: np.ndarray, ranks: np.ndarray):
-    """Digest, size and prefix of each row's set; ``frequent`` shingles (ascending) come last, by ``ranks``."""
+    """Digest, size, parity sketch and prefix of each row's set; ``frequent`` shingles (ascending) come last, by ``ranks``."""
 
-    def one(s: np.ndarray) -> tuple[int, int, int, np.ndarray]:
+    def one(s: np.ndarray) -> tuple[int, int, int, bytes, np.ndarray]:
         digest = xxhash.xxh128_intdigest(s.tobytes(), SEED)
         order = s
         if len(frequent):
             at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
             order = s[np.lexsort((s, np.where(frequent[at] == s, ranks[at], 0)))]
-        return _signed(digest & _ONES), _signed(digest >> 64), len(s), order[: prefix_length(len(s))]
+        return _signed(digest & _ONES), _signed(digest >> 64), len(s), parity_sketch(s), order[: prefix_length(len(s))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                low, high, n, prefix = zip(*[one(shingle_set(t)) for t in part["text"].to_pylist()])
-                yield pa.RecordBatch.from_arrays(
-                    [part["_pw_row"], pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(n, pa.int32()), pa.array(list(prefix), pa.list_(pa.int64()))],
-                    ["id", "low", "high", "n", "prefix"],
-                )
-            give_back()
+        for part in slices(batches, "text", 1 << 20):
+            low, high, n, sketch, prefix = zip(*[one(shingle_set(t)) for t in part["text"].to_pylist()])
+            yield pa.RecordBatch.from_arrays(
+                [part["_pw_row"], pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(n, pa.int32()), pa.array(sketch, pa.binary()), pa.array(list(prefix), pa.list_(pa.int64()))],
+                ["id", "low", "high", "n", "sketch", "prefix"],
+            )
+        give_back()
 
     return run
 
@@ -396,10 +413,21 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pair_batch(left, right)
 
 
-def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+def _sketches_allow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches differ in no more bits than a similarity of 0.8 allows: 9 * bits <= sum of sizes."""
+    for batch in batches:
+        a, b, na, nb, ka, kb = (batch[c].to_pylist() for c in ("a", "b", "na", "nb", "ka", "kb"))
+        may = [9 * sketch_distance(x, y) <= n + m for x, y, n, m in zip(ka, kb, na, nb)]
+        yield batch.select(["a", "b"]).filter(pa.array(may, pa.bool_()))
+
+
+def _verified(rows: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs ``(a, b)`` whose whole shingle sets have a similarity of at least 0.8, as ``(src, dst)``."""
+    sketches = signed.select("id", "n", "sketch")
+    left, right = (sketches.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}")) for x in "ab")
+    pairs = checkpoint(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(_sketches_allow, "a long, b long"))
     ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("_pw_row")).distinct())
-    few, _ = broadcast_if_small(ids)
+    few, _ = broadcast_if_small(ids, BROADCAST_IDS)
     sets = checkpoint(rows.join(few, "_pw_row", "left_semi").select("_pw_row", "text").mapInArrow(_sets, "id long, s array<long>"))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     near = F.size(F.array_intersect("sa", "sb")) * 9 >= 4 * (F.size("sa") + F.size("sb"))
@@ -413,22 +441,23 @@ def near_components(rows: DataFrame) -> DataFrame:
     counted = sample.mapInArrow(_sets, "id long, s array<long>").select(F.explode("s").alias("token")).groupBy("token").count().where(F.col("count") >= FREQUENT)
     top = counted.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).orderBy("token").toArrow()  # bounded
     frequent, ranks = top["token"].to_numpy(), top["count"].to_numpy()
-    signed = rows.select("_pw_row", "text").mapInArrow(_prefixes(frequent, ranks), "id long, low long, high long, n int, prefix array<long>")
+    signed = rows.select("_pw_row", "text").mapInArrow(_prefixes(frequent, ranks), "id long, low long, high long, n int, sketch binary, prefix array<long>")
     signed = checkpoint(signed)
     each = checkpoint(signed.groupBy("low", "high").agg(F.min("id").alias("first")))
-    single = signed.join(each.select(F.col("first").alias("id")), "id", "left_semi")
+    copies = signed.select("id", "low", "high").join(each, ["low", "high"]).where("id != first").select("id")
     met = checkpoint(
-        single.select("id", "n", F.posexplode("prefix").alias("at", "token"))
+        without(signed.select("id", "n", "prefix"), checkpoint(copies), "id")
+        .select("id", "n", F.posexplode("prefix").alias("at", "token"))
         .repartition("token").sortWithinPartitions("token", F.xxhash64("token", "id"))
         .mapInArrow(_met, "id long, n int, at int, token long")
     )
     some = met.mapInArrow(_neighbours, "a long, b long").groupBy("a").agg(F.collect_set("b").alias("bs"))
     chosen = F.slice(F.array_sort(F.transform("bs", lambda b: F.struct(F.xxhash64("a", b).alias("h"), b.alias("b")))), 1, FIRST)
-    first = _verified(rows, checkpoint(some.select("a", F.explode(chosen).alias("x")).select("a", "x.b")))
+    first = _verified(rows, signed, checkpoint(some.select("a", F.explode(chosen).alias("x")).select("a", "x.b")))
     found = connected_components(first).select(F.col("node").alias("id"), "component")
     labelled = met.join(checkpoint(found), "id", "left").select("id", "n", "at", "token", F.coalesce("component", "id").alias("label"))
     rest = labelled.repartition("token").sortWithinPartitions("token").mapInArrow(_across, "a long, b long").distinct()
-    second = _verified(rows, checkpoint(rest))
+    second = _verified(rows, signed, rest)
     joined = connected_components(first.unionByName(second))
     named = each.join(joined, each["first"] == joined.node, "left").select("low", "high", F.coalesce("component", "first").alias("component"))
     return checkpoint(signed.select("id", "low", "high").join(named, ["low", "high"]).select("id", "component"))
@@ -436,7 +465,7 @@ def near_components(rows: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, component_id)``: the smallest doc_id reachable over pairs with a similarity of 0.8 of five-word shingle sets."""
-    rows = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_pw_row", F.monotonically_increasing_id()))
+    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     own = near_components(rows).join(rows.select(F.col("_pw_row").alias("id"), "doc_id"), "id")
     lowest = own.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return own.join(lowest, "component").select("doc_id", "component_id")
@@ -445,13 +474,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates, that with the smallest doc_id, and all rows without doc_id.
 
-    Of rows with equal doc_id and equal text one stays. Decisions are made on narrow rows; then a row finds out by an equi-join
-    on its generated id, which is unique, whether it stays.
+    Of rows with equal doc_id and equal text one stays. Decisions are made on narrow rows; then a row finds out by its generated id, which is
+    unique, whether it goes.
     """
-    rows = docs.withColumn("_pw_row", F.monotonically_increasing_id())
+    rows = numbered(docs)
     ids = rows.where("doc_id is not null").select(F.col("_pw_row").alias("id"), F.col("doc_id").alias("_own"))
-    classes = near_components(rows.where("doc_id is not null").select("_pw_row", "text"))
-    first = classes.join(ids, "id").groupBy("component").agg(F.min(F.struct("_own", "id")).alias("first"))
-    stay = checkpoint(first.select(F.col("first.id").alias("_pw_row")))
-    kept = rows.join(stay, "_pw_row", "left_semi").unionByName(rows.where("doc_id is null"))
-    return kept.select(*docs.columns)
+    classes = near_components(rows.where("doc_id is not null").select("_pw_row", "text")).join(ids, "id")
+    first = classes.groupBy("component").agg(F.min(F.struct("_own", "id")).alias("first"), F.count("*").alias("rows"))
+    first = first.where("rows > 1").select("component", F.col("first.id").alias("stays"))
+    gone = checkpoint(classes.join(first, "component").where("id != stays").select(F.col("id").alias("_pw_row")))
+    return without(rows, gone).select(*docs.columns)

@@ -4,12 +4,13 @@ Every rule is a host and a path prefix. A rule is indexed by the literal token t
 tokens fetch the candidate rules by an equi-join, and only those run their regular expression. The longest rule that matches
 decides, else the method's verdict, ``allow``. Column expressions only.
 
-The rules side is broadcast while a count shows few rows, else joined on salted tokens. Scanned rows are told apart by a generated id
-and aggregated in the task that made them, so a frequent host or a repeated URL is no group of its own.
+An index of at most ``IN_PLACE`` rules is a literal map from token to candidates: a URL's tokens look them up and the candidates are tested in place, with
+no shuffle. A larger one is joined on tokens, salted if it can't be broadcast; rows are told apart by a generated id, so a frequent host
+or a repeated URL is no group of its own. Both give the same rows.
 
 Nulls and edges: a null URL, or one without ``://``, has an empty host and path and takes the method's verdict; repeated rows
-are each judged; a rule without tokens is a candidate of every URL; an empty table gives no rows; an empty rule list gives verdicts
-without rules.
+are each judged, very long URLs whole; a rule without tokens is a candidate of every URL; of equally long rules that fit, the larger name decides, then
+the larger verdict; an empty table gives no rows; an empty rule list gives verdicts without rules.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from presswork.llm.common import ascii_lower, broadcast_if_small, table
+from presswork.llm.common import ascii_lower, broadcast_if_small, numbered, table
 from presswork.session import checkpoint
 
 #: (host, path, verdict); fixed values of the query's contract.
@@ -27,6 +28,8 @@ DEFAULT = "allow"
 #: A token that every URL has; it indexes rules without literal tokens.
 ANY = ""
 SALTS = 16
+#: Rules that are looked up without a join at most.
+IN_PLACE = 500
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -76,13 +79,17 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, url: str =
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     host, path = split_url(F.col("_pw_url"))
     rows = (
-        pages.select(F.struct(*keep).alias("_pw_row"), F.col(url).alias("_pw_url"))
-        .withColumn("_pw_id", F.monotonically_increasing_id())
+        numbered(pages.select(F.struct(*keep).alias("_pw_row"), F.col(url).alias("_pw_url")), "_pw_id")
         .withColumns({"_pw_host": host, "_pw_path": path})
         .withColumn("_pw_tokens", F.concat(_tokens(F.col("_pw_host"), F.col("_pw_path")), F.array(F.lit(ANY))))
         .drop("_pw_url")
     )
-    index, small = broadcast_if_small(checkpoint(rule_index(rules, rows)))
+    index = checkpoint(rule_index(rules, rows))
+    few = index.limit(IN_PLACE + 1).collect()
+    if len(few) <= IN_PLACE:
+        best = _best_in_place(few)
+        return rows.withColumn("_pw_best", best).select(*_result(keep, default))
+    index, small = broadcast_if_small(index)
     held = rows.withColumn("_pw_token", F.explode("_pw_tokens")).drop("_pw_tokens")
     if small:
         held = held.join(index, F.col("_pw_token") == F.col("token"), "left")
@@ -93,13 +100,30 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, url: str =
         )
     fits = F.when(F.col("pattern").isNotNull() & F.expr("concat(_pw_host, _pw_path) rlike pattern"), F.struct("length", "rule", "verdict"))
     best = held.groupBy("_pw_id").agg(F.max(fits).alias("_pw_best"), *[F.first(c).alias(c) for c in ("_pw_row", "_pw_host", "_pw_path")])
-    return best.select(
+    return best.select(*_result(keep, default))
+
+
+def _best_in_place(index: list) -> Column:
+    """The longest rule that fits, among the candidates that the URL's tokens have in a literal map."""
+    by_token: dict[str, list] = {}
+    for r in index:
+        by_token.setdefault(r.token, []).append(F.struct(F.lit(r.length).alias("length"), F.lit(r.rule).alias("rule"), F.lit(r.verdict).alias("verdict"), F.lit(r.pattern).alias("pattern")))
+    if not by_token:
+        return F.lit(None).cast("struct<length:int,rule:string,verdict:string>")
+    rules = F.create_map(*[x for token, held in by_token.items() for x in (F.lit(token), F.array(*held))])
+    fetched = F.flatten(F.filter(F.transform("_pw_tokens", lambda t: F.element_at(rules, t)), lambda found: found.isNotNull()))
+    text = F.concat("_pw_host", "_pw_path")
+    return F.array_max(F.transform(F.filter(fetched, lambda r: F.regexp_like(text, r["pattern"])), lambda r: F.struct(r["length"], r["rule"], r["verdict"])))
+
+
+def _result(keep: list[str], default: str) -> list[Column]:
+    return [
         *[F.col("_pw_row")[c].alias(c) for c in keep],
         F.col("_pw_host").alias("host"),
         F.col("_pw_path").alias("path"),
         F.col("_pw_best.rule").alias("rule"),
         F.coalesce(F.col("_pw_best.verdict"), F.lit(default)).alias("verdict"),
-    )
+    ]
 
 
 def rules_frame(spark: SparkSession, rules: Iterable[tuple[str, str, str]] = RULES) -> DataFrame:

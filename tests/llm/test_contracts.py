@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -212,7 +213,9 @@ def test_top_k(spark, tmp_path, monkeypatch):
     assert out == brute_top_k(rows)
 
 
-def test_url_filter(spark):
+@pytest.mark.parametrize("in_place", [500, 0])
+def test_url_filter(spark, monkeypatch, in_place):
+    monkeypatch.setattr(urlfilter, "IN_PLACE", in_place)
     urls = [
         "http://A.Example.NET/en/1", "https://example.net/de/", "http://x.example.com/de/a?b#c", "http://example.com/de", "ftp://q.org/fr/", "org/fr/",
         None, "", "http://", "http://net", "http://a.net?x=/", "http://b.net/", "http://badexample.net/en/", "http://x.org/fr/#://y", "HTTP://X.ORG/FR/",
@@ -261,6 +264,27 @@ def test_colliding_hashes_are_told_apart(spark):
     assert fingerprint.differing(docs, hashes).count() == 0
 
 
+def test_white_space_is_the_same_for_ascii_and_other_texts():
+    assert fingerprint.canonical("a\x1cb") == fingerprint.canonical("\uff41\x1cb") == fingerprint.canonical("a b") == b"a b"
+    assert fingerprint.canonical("a\x0b\x85b") == fingerprint.canonical("A  b ") and fingerprint.canonical("") == b""
+
+
+def test_forged_collisions_in_a_hot_bucket(spark, monkeypatch):
+    """All texts share one hash: whoever differs from the bucket's first gets the suffix of its own form, whatever its part."""
+    monkeypatch.setattr(fingerprint, "SALTS", 3)
+    texts = ["a", "B", "a ", "c", "b", "A", "C", "c", "a", "b"] * 4
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    rows = [(k, fingerprint.canonical(t)) for k, t in enumerate(texts)]
+    batch = lambda rs: pa.RecordBatch.from_pydict(rs)
+    held = sorted((k % 3, k, f) for k, f in rows)
+    one = batch({"bucket": ["h"] * 40, "salt": pa.array([s for s, _, _ in held], pa.int32()), "row": [k for _, k, _ in held], "form": [f for _, _, f in held]})
+    firsts = pa.Table.from_batches(list(fingerprint._against_first(["bucket", "salt"], True)(iter([one.slice(0, 7), one.slice(7)])))).sort_by("row")
+    assert {r["row"] for r in firsts.to_pylist() if r["first"]} == {0, 1, 2}
+    apart = pa.Table.from_batches(list(fingerprint._against_first(["bucket"], False)(iter(firsts.combine_chunks().to_batches())))).to_pylist()
+    assert {r["row"] for r in apart if not r["first"]} | {r["row"] for r in apart if r["first"]} == {r["row"] for r in firsts.to_pylist() if r["form"] != b"a"}
+    assert fingerprint.differing(docs, docs.selectExpr("row", "'x' fingerprint").limit(0)).count() == 0
+
+
 def test_packing_round_trip(spark, tmp_path):
     from tokenizers import Tokenizer
 
@@ -301,3 +325,36 @@ def test_packer_limits():
     assert all(sum(x[0] for x in s) <= 100 and len(s) <= 4 and sum(x[1] for x in s) <= 30 for s in done)
     for i in (0, 1):
         assert sum(x[i] for s in done for x in s) == sum(x[i] for x in given)
+
+
+def test_instruction_packing_binds_loss_and_segments(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(pack.tokenizer_path())
+    rng, turns = random.Random(3), []
+    for conv in range(60):
+        for turn in range(rng.randint(1, 6)):
+            turns.append((conv, turn, "assistant" if turn % 2 else "user", " ".join(rng.choice("stone river the a of light".split()) for _ in range(rng.randint(0, 60)))))
+    turns += [(None, 1, "assistant", "orphan"), (7, None, "assistant", None), (8, 0, "user", "again"), (9, 5000, "assistant", "word " * 300)]
+    df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    examples = pack.instruction_examples(df)
+    assert examples.count() == sum(r == "assistant" for _, _, r, _ in turns)
+    size = lambda x: len(t.encode(x or "", add_special_tokens=False).ids)
+    rows = examples.coalesce(1).collect()
+    want_loss = sum(size(r.text) + 1 for r in rows)
+    want_all = want_loss + sum(size(r.prompt) for r in rows)
+    for tokens, segments, loss in ((256, 512, 60), (256, 3, None), (100, 4, 30), (2048, 512, None)):
+        out = pack.pack(examples.coalesce(1), tokens=tokens, segments=segments, loss=loss, prompt="prompt").collect()
+        sequences = {}
+        for r in out:
+            s = sequences.setdefault(r.sequence_id, [0, 0, 0])
+            s[0] += r.length
+            s[1] += 1
+            s[2] += r.loss_tokens
+        assert all(a <= tokens and b <= segments and c <= (loss or tokens) for a, b, c in sequences.values())
+        assert sum(r.length for r in out) == want_all and sum(r.loss_tokens for r in out) == want_loss
+        if loss:
+            assert max(s[2] for s in sequences.values()) == loss  # it binds
+        if segments == 3:
+            assert max(s[1] for s in sequences.values()) == 3
+    assert pack.pack(examples.where("false"), prompt="prompt").count() == 0

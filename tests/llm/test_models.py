@@ -247,7 +247,7 @@ def test_wide_groups_keep_all_links(spark):
     rng = random.Random(12)
     base, texts = [f"b{rng.randint(0, 4000)}" for _ in range(250)], []
     for _ in range(120):
-        texts.append(" ".join(edited(rng, base, rng.randint(2, 5))))
+        texts.append(" ".join(edited(rng, base, rng.randint(1, 3))))
         base = edited(rng, base, 1)
     rows = list(enumerate(texts))
     rng.shuffle(rows)
@@ -271,3 +271,63 @@ def test_long_trusted_row_leaves_others_in_the_sample(spark):
     assert first in kept and not any(k in kept for k in range(160, 200))
     odd = spark.range(5000).where("pmod(xxhash64(id), 2) = 1").first().id
     assert quality._sample_ids(docs.where(f"doc_id = {odd}").unionByName(spark.createDataFrame([(odd, "a b", "en", "s0", 3, 1, "x")], DOCS)), spark.createDataFrame([(odd,)], "doc_id long")).count() == 1
+
+
+def test_parity_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(5)
+    for n, m, shared in ((0, 5, 0), (1, 1, 1), (60, 70, 50), (500, 900, 450), (1000, 1030, 990), (3000, 2900, 2800)):
+        common = rng.integers(-(2**63), 2**63 - 1, shared)
+        a = np.unique(np.concatenate([common, rng.integers(-(2**63), 2**63 - 1, n - shared)]))
+        b = np.unique(np.concatenate([common, rng.integers(-(2**63), 2**63 - 1, m - shared)]))
+        differing = len(np.setxor1d(a, b))
+        far = simhash.sketch_distance(simhash.parity_sketch(a), simhash.parity_sketch(b))
+        assert far <= differing and (differing - far) % 2 == 0
+        assert far == simhash.sketch_distance(simhash.parity_sketch(b), simhash.parity_sketch(a))
+    assert simhash.sketch_distance(simhash.parity_sketch(a), simhash.parity_sketch(a)) == 0
+
+
+def test_license_texts_headers_and_identifiers(spark):
+    wrapped = "\n".join(" * " + license._MIT[k : k + 80].strip() for k in range(0, len(license._MIT), 80))
+    files = [
+        ("m/LICENSE", "MIT License\n\nCopyright (c) 2024 Someone\n\n" + license._MIT + "\n\n" + license._MIT_WARRANTY), ("m/sub/x.c", "int main;"),
+        ("s/a.c", "// SPDX-License-Identifier: MPL-2.0\nint x;"), ("s/b.c", "Copyright (c) 2024 Foo. Licensed under the Apache License, Version 2.0. All else is code."),
+        ("s/c.c", "/*\n" + license._APACHE.replace(". ", ".\n") + "\n*/\n\ncode code"), ("s/d.py", "# " + license._GPL.format(3) + "\n\nprint()"),
+        ("e.txt", "the licence of poets, without warranty or conditions"), ("f.txt", "word " * 50_000 + "\nReleased under the MIT License.\n" + "mit " * 2000), ("g", ""),
+    ]
+    df = spark.createDataFrame([(k, p, t, "c", 1, 2.0, 3) for k, (p, t) in enumerate(files)], "file long, path string, text string, license string, template int, score double, words int")
+    got = {r.file: (r.license, r.origin, r.license_dir) for r in license.scan(df, license.templates_frame(spark)).collect()}
+    assert got[0] == ("MIT", "own", None) and got[1] == ("MIT", "inherited", "m") and got[2][0] == "MPL-2.0" and got[3][0] == "Apache-2.0"
+    assert got[4][0] == "Apache-2.0" and got[5][0] == "GPL-3.0" and got[6] == (None, None, None) and got[7] == ("MIT", "own", None) and got[8] == (None, None, None)
+    assert wrapped.count("\n") > 3
+
+
+def test_license_gates_lose_no_unit():
+    """Random units near the least score: whatever reaches it passes both gates' bounds in plain Python."""
+    rng = random.Random(3)
+    texts = [t for _, t in license.TEMPLATES + license.SPDX]
+    split = lambda t: __import__("re").findall(r"[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?", t.lower())
+    n = len(texts)
+    spread = Counter(w for t in texts for w in set(split(t)))
+    idf = {w: math.log((1 + n) / (1 + k)) + 1 for w, k in spread.items()}
+    largest = math.log(1 + n) + 1
+    rows = []
+    for k, t in enumerate(texts):
+        raw = {w: c * idf[w] for w, c in Counter(split(t)).items()}
+        norm = math.sqrt(sum(x * x for x in raw.values()))
+        rows += [type("R", (), {"template": k, "term": w, "weight": x / norm, "idf": idf[w]}) for w, x in raw.items()]
+    keys = set(license.key_terms(rows))
+    reached = 0
+    for _ in range(3000):
+        words = split(rng.choice(texts))
+        rng.shuffle(words)
+        unit = words[: max(1, int(len(words) * rng.uniform(0.4, 1)))] + [f"x{rng.randint(0, 99)}" for _ in range(rng.randint(0, len(words) // 2))]
+        raw = {w: c * idf.get(w, largest) for w, c in Counter(unit).items()}
+        norm = math.sqrt(sum(x * x for x in raw.values()))
+        dots = defaultdict(float)
+        for r in rows:
+            dots[r.template] += r.weight * raw.get(r.term, 0) / norm
+        if max(dots.values()) >= license.LEAST:
+            reached += 1
+            known = sum((c * idf[w] / largest) ** 2 for w, c in Counter(unit).items() if w in idf)
+            assert keys & set(unit) and known * (1 / license.LEAST**2 - 1) >= len(set(unit) - set(idf)) * (1 - 1e-6)
+    assert reached > 100
