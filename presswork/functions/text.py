@@ -83,9 +83,19 @@ def parse_json(noisy: Column, fields: str) -> Column:
 
 
 def _date(text: Column) -> Column:
-    """ISO 8601 as it stands; RFC 822 dates without their weekday."""
-    rfc = F.regexp_replace(F.regexp_replace(text, r"^\s*[A-Za-z]{3},\s*", ""), r"(GMT|UTC|UT|Z)\s*$", "+0000")
-    return F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(rfc, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(rfc, F.lit("d MMM yyyy HH:mm Z")))
+    """ISO 8601 as it stands; else the usual written forms, without weekday and commas, with zone names as offsets.
+
+    The forms' patterns exclude each other, so a form is chosen by its shape and parsed once.
+    """
+    t = F.regexp_replace(F.regexp_replace(strip(text), r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+", ""), r"\s*,\s*|\s+", " ")
+    for name, offset in schema.ZONES.items():
+        t = F.regexp_replace(t, rf"(?i)\s({name})$", f" {offset}")
+    t = F.regexp_replace(F.regexp_replace(t, r" ([+-]\d\d):(\d\d)$", " $1$2"), r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?", "$1")
+    t = F.regexp_replace(F.regexp_replace(t, r"^(\d+) ([A-Za-z]{3}) (\d\d)( |$)", "$1 $2 20$3$4"), r"(?i) (am|pm)$", " $1")
+    t = F.when(F.regexp_like(t, F.lit(r"(?i)[a-z]{3}")), F.initcap(t)).otherwise(t)
+    t = F.regexp_replace(F.regexp_replace(t, " Am$", " AM"), " Pm$", " PM")
+    forms = [F.when(F.regexp_like(t, F.lit(f"^{shape}$")), F.try_to_timestamp(t, F.lit(pattern))) for shape, pattern in schema.DATE_FORMS.items()]
+    return F.coalesce(F.try_to_timestamp(text), *forms)
 
 
 def timestamp_cascade(*texts: Column, default: Column) -> Column:
@@ -161,25 +171,76 @@ def index_uri(uri: Column) -> Column:
 
 
 def normal_url(url: Column) -> Column:
-    """Scheme and host in lower case, an empty path as a slash; null unless it is http(s) with a host."""
-    ok = F.regexp_like(url, F.lit(r"(?i)^https?://[^/?#\s]+[^\s]*$"))
+    """Scheme and host in lower case, no default port, an empty path as a slash; null unless it is http(s) with a plausible host and port.
+
+    Hosts are not turned into their ASCII form.
+    """
+    host = r"(?:[^/?#\s@]*@)?(?:[^/?#\s@:\[\]<>^|\\%\"]+|\[[0-9a-fA-F:.]+\])(?::\d{1,5})?"
+    ok = F.regexp_like(url, F.lit(rf"(?i)^https?://{host}(?:[/?#]\S*)?$")) & (F.length(url) <= 2083)
+    ok &= F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(url, r"^[^:]+://[^/?#]*:(\d{1,5})(?:[/?#]|$)", 1), F.lit("")), F.lit("99999")), F.lit(0)) <= 65535
     head = F.lower(F.regexp_extract(url, r"^([^:]+://[^/?#]*)", 1))
+    head = F.regexp_replace(F.regexp_replace(head, r"^(http://.*):80$", "$1"), r"^(https://.*):443$", "$1")
     rest = F.regexp_extract(url, r"^[^:]+://[^/?#]*(.*)$", 1)
     return F.when(ok, F.concat(head, F.when(F.startswith(rest, F.lit("/")), rest).otherwise(F.concat(F.lit("/"), rest))))
 
 
 def image_url(thumbnails: Column, media: Column, enclosures: Column) -> Column:
-    """Thumbnail, then declared image (even without url, which ends the search), then any media url, then an image enclosure."""
+    """The first thumbnail if it has a url, then declared image (even without url, which ends the search), then any media url, then an image enclosure."""
     is_image = lambda m: (F.coalesce(m["medium"], F.lit("")) == "image") | F.startswith(F.coalesce(m["type"], F.lit("")), F.lit("image/"))
     declared = F.filter(media, is_image)
     with_url = F.filter(media, lambda m: F.coalesce(m["url"], F.lit("")) != "")
     pictures = F.filter(enclosures, lambda e: F.startswith(F.coalesce(e["type"], F.lit("")), F.lit("image/")))
     first = lambda a: F.get(a, F.lit(0))
     return (
-        F.when(F.size(thumbnails) > 0, first(thumbnails)["url"]).when(F.size(declared) > 0, first(declared)["url"])
+        F.when(F.coalesce(first(thumbnails)["url"], F.lit("")) != "", first(thumbnails)["url"]).when(F.size(declared) > 0, first(declared)["url"])
         .when(F.size(with_url) > 0, first(with_url)["url"]).otherwise(first(pictures)["url"])
     )
 
 
 def story_id(article_id: Column) -> Column:
     return F.concat(F.lit("story-"), F.substring(article_id, 1, 8))
+
+
+def body_text(article: Column, summary: Column) -> Column:
+    """A story's text under its present name, else its former one."""
+    return F.coalesce(F.nullif(article, F.lit("")), F.nullif(summary, F.lit("")), F.lit(""))
+
+
+def source_list(names: Column, n: int = 5) -> Column:
+    """The first names and how many more there are."""
+    more = F.size(names) - n
+    return F.concat(F.array_join(F.slice(names, 1, n), ", "), F.when(more > 0, F.concat(F.lit(" + "), more.cast("string"), F.lit(" more"))).otherwise(""))
+
+
+def edition_label(edition: Column) -> Column:
+    """The edition's number, 1 where there is none yet."""
+    return F.coalesce(F.nullif(edition, F.lit(0)), F.lit(1))
+
+
+def escape_html(text: Column) -> Column:
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(plain), F.lit(entity))
+    return text
+
+
+def markdown_html(text: Column) -> Column:
+    """HTML of a subset of Markdown: headings, lists, rules, paragraphs, strong, emphasis, code and links; other markup is text."""
+    t = escape_html(F.regexp_replace(text, r"\r\n?", "\n"))
+    for pattern, html in (
+        (r"`([^`\n]+)`", "<code>$1</code>"), (r"\*\*([^*\n]+)\*\*", "<strong>$1</strong>"), (r"\*([^*\n]+)\*", "<em>$1</em>"),
+        (r"\[([^\]\n]+)\]\((https?://[^)\s]+)\)", '<a href="$2">$1</a>'),
+    ):
+        t = F.regexp_replace(t, pattern, html)
+
+    def block(b: Column) -> Column:
+        items = F.array_join(F.transform(F.split(b, "\n"), lambda x: F.concat(F.lit("<li>"), F.regexp_replace(x, r"^[-*] ", ""), F.lit("</li>"))), "")
+        level = F.length(F.regexp_extract(b, "^(#+) ", 1)).cast("string")
+        return (
+            F.when(F.regexp_like(b, F.lit(r"^#{1,6} [^\n]*$")), F.concat(F.lit("<h"), level, F.lit(">"), F.regexp_replace(b, "^#+ ", ""), F.lit("</h"), level, F.lit(">")))
+            .when(F.regexp_like(b, F.lit(r"^(-{3,}|\*{3,})$")), F.lit("<hr>"))
+            .when(F.regexp_like(b, F.lit(r"^[-*] [^\n]*(\n[-*] [^\n]*)*$")), F.concat(F.lit("<ul>"), items, F.lit("</ul>")))
+            .otherwise(F.concat(F.lit("<p>"), b, F.lit("</p>")))
+        )
+
+    blocks = F.filter(F.transform(F.split(t, r"\n[ \t]*\n\s*"), lambda b: F.trim(b)), lambda b: b != "")
+    return F.array_join(F.transform(blocks, block), "\n")

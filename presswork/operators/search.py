@@ -61,3 +61,8 @@ def count_current(syntheses: DataFrame, column: str = "") -> DataFrame:
 
 def synthesis_by_id(syntheses: DataFrame, story_id: str) -> DataFrame:
     return syntheses.where(F.col("story_id") == story_id)
+
+
+def store_score(cosine: Column, approximate: bool = False) -> Column:
+    """A hit's score as document stores give it: 1 + cosine for an exact scan, 1 / (2 - cosine) for an index of neighbours."""
+    return 1 / (2 - cosine) if approximate else 1 + cosine

@@ -6,7 +6,11 @@ before it takes its name.
 
 from __future__ import annotations
 
+import os
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
 from presswork import schema
 from presswork.functions import text as X
@@ -74,12 +78,99 @@ def write_articles(articles: DataFrame, path: str, now: Column) -> None:
     route_by_month(articles, now).write.mode("append").partitionBy("ym").parquet(path)
 
 
-def replace_table(rows: DataFrame, path: str) -> None:
-    """Write a snapshot that may derive from the table at ``path``: beside it first, then in its place."""
-    spark: SparkSession = rows.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    rows.write.mode("overwrite").parquet(f"{path}.next")
-    fs.delete(hadoop(path), True)
-    if not fs.rename(hadoop(f"{path}.next"), hadoop(path)):
+def bulk_upsert(base: DataFrame, changes: DataFrame, key: str, *order: Column) -> tuple[DataFrame, DataFrame]:
+    """The next snapshot, and one row ``(ok, errors)``: changes without a key can't be stored."""
+    ok = F.col(key).isNotNull()
+    counts = changes.agg(F.count_if(ok).alias("ok"), F.count_if(~ok).alias("errors"))
+    return upsert(base, changes.where(ok), key, *order), counts
+
+
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path and the maker of its paths."""
+    made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return made(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), made
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish or undo a swap that was cut short: without a table, the one set aside comes back; with one, that goes."""
+    fs, at = file_system(spark, path)
+    if not fs.exists(at(f"{path}.old")):
+        return
+    if fs.exists(at(path)):
+        fs.delete(at(f"{path}.old"), True)
+    elif not fs.rename(at(f"{path}.old"), at(path)):
+        raise OSError(f"cannot put back {path}")
+
+
+def replace_table(rows: DataFrame, path: str, partition_by: str | None = None) -> None:
+    """Write a snapshot that may derive from the table at ``path``: beside it first, then in its place.
+
+    The old table is set aside, not deleted, until the new one has its name; ``recover`` repairs what a crash leaves.
+    """
+    spark = rows.sparkSession
+    fs, at = file_system(spark, path)
+    writer = rows.write.mode("overwrite")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{path}.next")
+    recover(spark, path)
+    if fs.exists(at(path)) and not fs.rename(at(path), at(f"{path}.old")):
+        raise OSError(f"cannot set aside {path}")
+    if not fs.rename(at(f"{path}.next"), at(path)):
         raise OSError(f"cannot put the new snapshot at {path}")
+    fs.delete(at(f"{path}.old"), True)
+
+
+def ensure_table(spark: SparkSession, path: str, columns: StructType) -> bool:
+    """Create an empty table with a schema if there is none; whether it was made."""
+    recover(spark, path)
+    fs, at = file_system(spark, path)
+    if fs.exists(at(path)):
+        return False
+    spark.createDataFrame([], columns).write.parquet(path)
+    return True
+
+
+def editions(spark: SparkSession, path: str) -> list[int]:
+    """Edition numbers that have been claimed."""
+    fs, at = file_system(spark, path)
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(at(path)) if f.getPath().getName().isdigit()) if fs.exists(at(path)) else []
+
+
+def _create_new(spark: SparkSession, path: str) -> bool:
+    """Make an empty file that wasn't there; of several writers one succeeds. Hadoop's local file system checks first and then writes, so it is left out."""
+    fs, at = file_system(spark, path)
+    if fs.getScheme() == "file":
+        local = at(path).toUri().getPath()
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        try:
+            os.close(os.open(local, os.O_CREAT | os.O_EXCL))
+        except FileExistsError:
+            return False
+        return True
+    try:
+        fs.create(at(path), False).close()
+    except Py4JJavaError as e:
+        if fs.exists(at(path)):
+            return False
+        raise e
+    return True
+
+
+def claim_edition(spark: SparkSession, path: str) -> int:
+    """Take the next edition number. The claim is a file that only one writer can make, so two writers never share a number."""
+    number = max(editions(spark, path), default=0) + 1
+    while not _create_new(spark, f"{path}/{number}"):
+        number += 1
+    return number
+
+
+def tables(spark: SparkSession, root: str, pattern: str = "*") -> list[str]:
+    """Names of the tables below a root that match a pattern, in order."""
+    fs, at = file_system(spark, root)
+    found = fs.globStatus(at(f"{root}/{pattern}")) or []
+    return sorted(f.getPath().getName() for f in found if f.isDirectory() and not f.getPath().getName().endswith((".next", ".old")))
+
+
+def files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """``path, length, modified, content`` of all files below a root whose names match a glob, in order of path."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    return found.select("path", "length", F.col("modificationTime").alias("modified"), "content").orderBy("path")

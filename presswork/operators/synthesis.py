@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -86,24 +87,72 @@ def budget_prompts(articles: DataFrame, keys: list[str], budget: int, system_cha
     return full.where("ok").select(*keys, "prompt", F.lit(None).cast("int").alias("cap")).unionByName(best)
 
 
-def synthesize(prompts: DataFrame, key: str, provider: Callable[[], TextProvider] = ExtractiveText) -> DataFrame:
-    """Article and analysis of each prompt by two calls; a story whose answer lacks its fields is left out."""
+def with_retries(model: TextProvider, prompt: str, attempts: int = 3, delay: float = 10.0, sleep: Callable[[float], None] = time.sleep) -> str:
+    """A model's answer; after an error it is reloaded, if it can be, and asked again ``delay`` seconds later for each attempt made."""
+    for attempt in range(1, attempts + 1):
+        try:
+            return model.complete(prompt)
+        except Exception:  # whatever a service may raise
+            if attempt == attempts:
+                raise
+            if hasattr(model, "reload"):
+                model.reload()
+            sleep(delay * attempt)
+    raise ValueError("there must be one attempt at least")
+
+
+def answers(prompts: DataFrame, key: str, provider: Callable[[], TextProvider] = ExtractiveText, attempts: int = 3, delay: float = 10.0) -> DataFrame:
+    """``key, first, second, error``: two calls a story. A story whose calls keep failing has an error and no answers; the others go on."""
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = provider()
         for pdf in batches:
-            first = [model.complete(p) for p in pdf["prompt"]]
-            second = [model.complete(p + "\n\n" + a) for p, a in zip(pdf["prompt"], first)]
-            yield pd.DataFrame({key: pdf[key], "first": first, "second": second})
-
-    kind = dict(prompts.dtypes)[key]
-    raw = prompts.select(key, "prompt").mapInPandas(call, f"{key} {kind}, first string, second string")
-    parsed = raw.select(key, X.parse_json(F.col("first"), ANSWER).alias("a"), X.parse_json(F.col("second"), ANSWER).alias("b"))
-    return parsed.where("a.headline is not null and a.article is not null and b.analysis is not null").select(
+            out = []
+            for k, p in zip(pdf[key], pdf["prompt"]):
+                try:
+                    first = with_retries(model, p, attempts, delay)
+                    out.append((k, first, with_retries(model, p + "\n\n" + first, attempts, delay), None))
+                except Exception as e:
+                    out.append((k, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=[key, "first", "second", "error"])
+
+    return prompts.select(key, "prompt").mapInPandas(call, f"{key} {dict(prompts.dtypes)[key]}, first string, second string, error string")
+
+
+def parsed(raw: DataFrame, key: str) -> DataFrame:
+    """Headline, article and analysis; a story whose answer lacks one is left out."""
+    rows = raw.where("error is null").select(key, X.parse_json(F.col("first"), ANSWER).alias("a"), X.parse_json(F.col("second"), ANSWER).alias("b"))
+    return rows.where("a.headline is not null and a.article is not null and b.analysis is not null").select(
         key, F.col("a.headline").alias("generated_headline"), F.col("a.article").alias("article"), F.col("b.analysis").alias("analysis")
     )
 
 
+def synthesize(prompts: DataFrame, key: str, provider: Callable[[], TextProvider] = ExtractiveText, attempts: int = 3, delay: float = 10.0) -> DataFrame:
+    """Article and analysis of each prompt; a story that fails, or whose answer lacks its fields, is left out."""
+    return parsed(answers(prompts, key, provider, attempts, delay), key)
+
+
+def embed_list(articles: list[dict], provider: Callable[[], EmbeddingProvider] = HashedWords, batch: int = 32) -> list[list[float] | None]:
+    """Vectors of given articles (``headline``, ``summary``), in their order; none where the model gave none."""
+    texts = [a["headline"] + ("\n\n" + a["summary"] if a.get("summary") else "") for a in articles]
+    model, made = provider(), []
+    for at in range(0, len(texts), batch):
+        got = model.embed(texts[at : at + batch])
+        made += [*got, *[None] * (len(texts[at : at + batch]) - len(got))]
+    return made[: len(texts)]
+
+
+def healthy(provider: Callable[[], object]) -> bool:
+    """Whether a provider answers: its own check if it has one, else one short call."""
+    try:
+        model = provider()
+        if hasattr(model, "healthy"):
+            return bool(model.healthy())
+        return bool(model.complete("ping") if hasattr(model, "complete") else model.embed(["ping"]))
+    except Exception:  # whatever a service may raise
+        return False
+
+
 def embed_missing(articles: DataFrame, provider: Callable[[], EmbeddingProvider] = HashedWords, limit: int | None = None, batch: int = 32) -> DataFrame:
     """``id, embedding`` of articles without a vector, newest first up to ``limit``; one pass. A short answer gives nulls."""
     rows = articles.where(F.col("embedding").isNull())
@@ -129,6 +178,7 @@ def markdown(syntheses: DataFrame) -> DataFrame:
     bias = F.array_join(F.transform(F.map_entries("bias_coverage"), lambda e: F.concat(e["key"], F.lit(": "), e["value"].cast("string"))), ", ")
     n = F.size("sources_used")
     sources = F.concat(F.array_join(F.slice("sources_used", 1, 10), ", "), F.when(n > 10, F.concat(F.lit(" (+"), (n - 10).cast("string"), F.lit(" more)"))).otherwise(""))
+    # fixed values: the strings of the output format
     parts = ["## ", F.col("generated_headline"), "\n\n", F.col("article"), "\n\n### Coverage Analysis\n", F.col("analysis"), "\n\n---\n**Sources:** ", sources,
              "\n**Bias Coverage:** ", bias, "\n**Articles:** ", F.col("article_count").cast("string"), "\n"]
     return syntheses.select("story_id", F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("markdown"))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from presswork import schema
 from presswork.functions import text as X
-from presswork.operators import cluster, dedup, rank, search, stories as S, store, synthesis
-from presswork.sources import articles as A, dumps, registry
+from presswork.operators import cluster, dedup, pages, rank, search, stories as S, store, synthesis
+from presswork.sources import articles as A, dumps, feeds, registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -462,10 +462,7 @@ d AS (SELECT a.id, b.id AS other_id, {_COS.format("a.embedding", "b.embedding")}
 SELECT id, other_id, round(cosine, 6) AS cosine FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(cosine, 9) DESC, other_id) <= 3""")
 def pairwise_cosine_topk(spark, sf):
     """The three nearest articles of each, within its column."""
-    near = cluster.pairs(A.articles(spark, sf))
-    both = near.select("id", "other_id", "distance").unionByName(near.select(F.col("other_id").alias("id"), F.col("id").alias("other_id"), "distance"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round(1 - F.col("distance"), 9)), "other_id"))
-    return both.withColumn("place", place).where("place <= 3").select("id", "other_id", F.round(1 - F.col("distance"), 6).alias("cosine"))
+    return cluster.nearest(A.articles(spark, sf), 3).select("id", "other_id", F.round("cosine", 6).alias("cosine"))
 
 
 @query(A.SQL + f"""
@@ -487,7 +484,8 @@ def centroids(spark, sf):
 d AS (SELECT a.col_name, a.id, 1 - {_COS.format("a.embedding", "b.embedding")} AS distance FROM v a JOIN v b ON a.col_name = b.col_name AND a.id <> b.id)
 SELECT col_name, id, round(distance, 6) AS core_distance FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance) = 2""")
 def core_distance(spark, sf):
-    return cluster.core_distances(cluster.pairs(A.articles(spark, sf))).select("col_name", "id", _round("core_distance"))
+    near = cluster.nearest(A.articles(spark, sf), cluster.MIN_SAMPLES).where(F.col("place") == cluster.MIN_SAMPLES)
+    return near.select("col_name", "id", F.round(1 - F.col("cosine"), 6).alias("core_distance"))
 
 
 @query(STORIES + f""", e AS (SELECT col_name, label, source_bias, unnest(range(1, 65)) AS pos, unnest(embedding) AS x FROM stories_p),
@@ -575,15 +573,127 @@ def active_feeds(spark, sf):
 , b AS (SELECT doc_id, (row_number() OVER (ORDER BY pub_date DESC NULLS LAST, id) - 1) // 50 AS batch, article FROM (SELECT *, 1 AS article FROM articles WHERE label IS NOT NULL))
 SELECT batch, count(*) AS n, (sum(count(*)) OVER (ORDER BY batch))::BIGINT AS done FROM b GROUP BY batch""")
 def batch_totals(spark, sf):
-    """Chunks of fifty in scan order with running totals; only chunk counts reach the ordering window's single task."""
-    rows = labelled(spark, sf).agg(F.count("*").alias("n"))
-    chunks = rows.select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 50))).alias("batch"), F.col("n").alias("total")).where("total > 0")
-    sized = chunks.select("batch", F.least(F.lit(50).cast("long"), F.col("total") - F.col("batch") * 50).alias("n"))
-    return sized.withColumn("done", F.sum("n").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)))
+    """Chunks of fifty in scan order with running totals."""
+    return rank.chunk_totals(labelled(spark, sf).select("id", "pub_date"), 50, F.desc_nulls_last("pub_date"), F.asc("id"))
 
 
 @query(STORIES + f""", ranked AS (SELECT *, round({LIVE}, 9) AS hotness FROM stories)
 SELECT story_id, (row_number() OVER (ORDER BY article_count DESC, story_id))::INTEGER AS by_size, source_count >= 2 AS multi_source FROM ranked""")
 def stories_by_size(spark, sf):
     rows = stories(spark, sf)
-    return rows.select("story_id", F.row_number().over(Window.orderBy(F.desc("article_count"), "story_id")).alias("by_size"), (F.col("source_count") >= 2).alias("multi_source"))
+    placed = rank.numbered(rows.select("story_id", "article_count", "source_count"), F.desc("article_count"), F.asc("story_id"))
+    return placed.select("story_id", F.col("place").cast("int").alias("by_size"), (F.col("source_count") >= 2).alias("multi_source"))
+
+
+# --- feeds, dates, pages ------------------------------------------------------------------------------------------------
+
+_AT = "TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id)"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, trim(regexp_replace(substr(text, 1, 40), '[^A-Za-z ]', '', 'g')) AS title, {_AT} AS ts FROM documents)
+SELECT doc_id, title AS headline, 'https://n.example/' || doc_id AS url,
+       CASE doc_id % 6 WHEN 2 THEN date_trunc('day', ts) WHEN 3 THEN {A.NOW_SQL} ELSE ts END AS pub_date,
+       CASE doc_id % 5 WHEN 0 THEN 'https://i.example/t' || doc_id WHEN 1 THEN 'https://i.example/m' || doc_id WHEN 3 THEN 'https://i.example/e' || doc_id END AS image_url
+FROM d WHERE title <> ''""")
+def parse_feeds(spark, sf):
+    """Documents as feeds of one item, RSS and Atom in turn, with every way to give a date and an image; parsed and validated."""
+    docs = A.table(spark, sf, "documents").withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=F.col("doc_id").cast("int")))
+    cat = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
+    n, atom = F.col("doc_id").cast("string"), F.col("doc_id") % 2 == 1
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    published = F.when(atom, F.lit("published")).otherwise("pubDate")
+    tag = lambda name, v: cat("<", name, ">", v, "</", name, ">")
+    ago = lambda h: F.col("ts") + F.make_dt_interval(hours=F.lit(h))
+    form = F.col("doc_id") % 6
+    date = (
+        F.when(form == 0, tag(published, cat(F.date_format(ago(-5), "d MMM yyyy HH:mm:ss"), " EST"))).when(form == 1, tag(published, iso))
+        .when(form == 2, tag(published, F.date_format("ts", "MMMM d, yyyy"))).when(form == 3, F.lit(""))
+        .when(form == 4, cat(tag(published, F.lit("soon")), tag(F.lit("updated"), iso))).otherwise(tag(published, cat(F.date_format(ago(2), "EEE, dd MMM yyyy HH:mm"), " +0200")))
+    )
+    kind, thumb = F.col("doc_id") % 5, lambda u: cat('<media:thumbnail url="', u, '"/>')
+    enclosure = F.when(atom, cat('<link rel="enclosure" type="image/png" href="https://i.example/e', n, '"/>')).otherwise(cat('<enclosure type="image/png" url="https://i.example/e', n, '"/>'))
+    image = (
+        F.when(kind == 0, thumb(cat("https://i.example/t", n))).when(kind == 1, cat(thumb(F.lit("")), '<media:content medium="image" url="https://i.example/m', n, '"/>'))
+        .when(kind == 2, cat('<media:content type="image/png"/>', enclosure)).when(kind == 3, enclosure).otherwise("")
+    )
+    inside = cat(tag(F.lit("title"), F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z ]", "")), date, image)
+    xml = F.when(atom, cat("<feed><entry>", inside, '<link href="HTTPS://N.example:443/', n, '"/></entry></feed>')).otherwise(cat("<rss><channel><item>", inside, "<link>https://N.EXAMPLE/", n, "</link></item></channel></rss>"))
+    slug = F.concat(F.lit("s"), n)
+    sources = docs.select(slug.alias("name"), slug.alias("slug"), F.lit(None).cast("string").alias("rss_url"), F.lit("rss").alias("fetch_method"), F.lit("tech").alias("col_name"), F.lit("center").alias("bias"), F.lit(True).alias("active"))
+    good, _ = feeds.normalise(feeds.parse(docs.where("text is not null").select(slug.alias("slug"), xml.alias("xml"))), sources, A.now())
+    return good.select(F.substring("source_slug", 2, 20).cast("long").alias("doc_id"), "headline", "url", "pub_date", "image_url")
+
+
+@query("""
+SELECT event_id, CASE event_id % 8 WHEN 3 THEN date_trunc('day', ts) WHEN 6 THEN date_trunc('day', ts) WHEN 1 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END AS at FROM events""")
+def written_dates(spark, sf):
+    """Dates of events written in eight ways, read again."""
+    rows = A.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    shifted = lambda h: F.col("ts") + F.make_dt_interval(hours=F.lit(h))
+    forms = [
+        F.concat(F.date_format(shifted(-8), "EEE, d MMM yyyy HH:mm:ss"), F.lit(" PST")), F.date_format("ts", "M/d/yyyy H:mm"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        F.date_format("ts", "MMMM d, yyyy"), F.concat(F.date_format(shifted(1), "dd MMM yyyy HH:mm:ss"), F.lit(" +01:00")), F.date_format("ts", "EEE MMM d HH:mm:ss yyyy"),
+        F.date_format("ts", "yyyy/M/d"), F.date_format("ts", "MMM d, yyyy HH:mm:ss"),
+    ]
+    text = F.element_at(F.array(*forms), (F.col("event_id") % 8 + 1).cast("int"))
+    return rows.select("event_id", X.timestamp_cascade(text, default=F.lit(None).cast("timestamp")).alias("at"))
+
+
+@query(A.SQL + f"""
+SELECT id, round(1 + {_COS.format("a.embedding", "q.embedding")}, 6) AS score, round(1 / (2 - {_COS.format("a.embedding", "q.embedding")}), 6) AS index_score
+FROM articles a, (SELECT arg_min(embedding, vec_id) AS embedding FROM vectors) q
+WHERE a.embedding IS NOT NULL ORDER BY round({_COS.format("a.embedding", "q.embedding")}, 9) DESC, id LIMIT 10""")
+def knn_scores(spark, sf):
+    first = A.planted_vectors(spark, sf).agg(F.min_by("vector", "vec_id")).first()[0]
+    found = search.knn(A.articles(spark, sf), F.array(*[F.lit(x) for x in first]), 10)
+    return found.select("id", F.round(search.store_score(F.col("cosine")), 6).alias("score"), F.round(search.store_score(F.col("cosine"), True), 6).alias("index_score"))
+
+
+@query(A.SQL + """, k AS (SELECT *, col_name || '/' || label AS story_key FROM articles WHERE embedding IS NOT NULL),
+h AS (SELECT story_key, count(*) AS n, arg_min(headline, id) AS head FROM k GROUP BY story_key),
+t AS (SELECT story_key, row_number() OVER (ORDER BY n DESC, story_key) - 1 AS t FROM h WHERE n > 1)
+SELECT id, coalesce(t, -1)::INTEGER AS trace, (t % 25)::INTEGER AS color, CASE WHEN t IS NULL THEN 'Single articles' ELSE substr(head, 1, 80) END AS label,
+       '<b>' || substr(headline, 1, 60) || '</b><br>Source: ' || coalesce(source_name, '?') || ' (' || coalesce(source_bias, '?') || ')<br>Cluster: ' || substr(head, 1, 80) || '<br>Cluster size: ' || n AS hover,
+       CASE WHEN t IS NULL THEN 4 ELSE 8 END AS size
+FROM k JOIN h USING (story_key) LEFT JOIN t USING (story_key)""")
+def plot_traces(spark, sf):
+    """The table of a scatter plot without its coordinates, which SQL can't give, for stories by planted label."""
+    rows = A.articles(spark, sf).where("embedding is not null")
+    return cluster.plot_table(rows, rows.select("id", F.concat_ws("/", "col_name", "label").alias("story_key"))).drop("x", "y")
+
+
+@query(STORIES + """
+SELECT story_id, array_to_string(sources_used[1:5], ', ') || CASE WHEN len(sources_used) > 5 THEN ' + ' || (len(sources_used) - 5) || ' more' ELSE '' END AS sources FROM stories""")
+def story_source_list(spark, sf):
+    return stories(spark, sf).select("story_id", X.source_list(F.col("sources_used")).alias("sources"))
+
+
+@query(STORIES + """
+SELECT col_name, count(*) AS stories, count(*) FILTER (len(article_urls) > 1) AS clustered, count(*) FILTER (len(article_urls) = 1) AS single,
+       count(*) FILTER (source_count > 1) AS multi_source, sum(len(article_urls))::BIGINT AS articles FROM stories GROUP BY col_name""")
+def story_counts(spark, sf):
+    return cluster.story_stats(stories(spark, sf))
+
+
+@query("""
+SELECT count(*) FILTER (doc_id % 10 <> 0) AS ok, count(*) FILTER (doc_id % 10 = 0) AS errors FROM documents""")
+def bulk_upsert_counts(spark, sf):
+    docs = A.table(spark, sf, "documents")
+    changes = docs.select(F.when(F.col("doc_id") % 10 != 0, F.col("doc_id")).alias("doc_id"), "text")
+    return store.bulk_upsert(docs.select("doc_id", "text").limit(0), changes, "doc_id")[1]
+
+
+@query("""
+SELECT doc_id, '<h1>' || doc_id || '</h1>' || chr(10) || '<p><strong>' || lang || '</strong> &amp; <em>' || source || '</em></p>' || chr(10) || '<ul><li>' || n_chars || '</li><li>&lt;b&gt;</li></ul>' AS html FROM documents""")
+def markdown_pages(spark, sf):
+    docs = A.table(spark, sf, "documents")
+    text = F.format_string("# %s\n\n**%s** & *%s*\n\n- %s\n- <b>", "doc_id", "lang", "source", "n_chars")
+    return docs.select("doc_id", X.markdown_html(text).alias("html"))
+
+
+@query()
+def site_pages(spark, sf):
+    """All pages of an edition over the stories of the planted labels; their content is checked in the tests."""
+    rows = store.fill_defaults(stories(spark, sf).withColumnRenamed("headline", "original_headline").withColumn("generated_headline", F.col("original_headline")), A.now())
+    return pages.site(rows, A.now(), 1)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
+
+from presswork.operators import store
+from presswork.session import checkpoint
 
 HEADER = "#MAPPING#"
 #: Timestamps keep their microseconds.
@@ -16,9 +21,10 @@ def lines(rows: DataFrame, key: str) -> DataFrame:
 
 
 def export(rows: DataFrame, path: str, key: str) -> None:
-    """A folder of text parts, and beside it a folder with the header line."""
-    lines(rows, key).write.mode("overwrite").text(f"{path}/data")
-    header = rows.sparkSession.createDataFrame([(HEADER + rows.schema.json(),)], "value string")
+    """A folder of text parts in order of the key, and beside it a folder with the header line."""
+    lines(rows.orderBy(key), key).write.mode("overwrite").text(f"{path}/data")
+    schema = StructType([StructField(f.name, f.dataType, f.nullable, {"key": True} if f.name == key else {}) for f in rows.schema.fields])
+    header = rows.sparkSession.createDataFrame([(HEADER + schema.json(),)], "value string")
     header.coalesce(1).write.mode("overwrite").text(f"{path}/mapping")
 
 
@@ -32,19 +38,33 @@ def parse(text: DataFrame, schema: StructType) -> DataFrame:
     return text.where(is_row(F.col("value"))).select(F.from_json("value", wrapped, TIMES).alias("r")).select("r._source.*")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def mapping(spark: SparkSession, path: str) -> tuple[StructType, str | None]:
+    """A dump's schema and the name of its key column."""
     header = spark.read.text(f"{path}/mapping").where(F.startswith("value", F.lit(HEADER))).first()
     if header is None:
         raise ValueError(f"{path} has no header line")
-    import json
+    schema = StructType.fromJson(json.loads(header.value[len(HEADER) :]))
+    return schema, next((f.name for f in schema.fields if f.metadata.get("key")), None)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    return parse(spark.read.text(f"{path}/data"), mapping(spark, path)[0])
 
-    return parse(spark.read.text(f"{path}/data"), StructType.fromJson(json.loads(header.value[len(HEADER) :])))
 
+def load(spark: SparkSession, path: str, table: str, clear: bool = False, partition_by: str | None = None) -> int:
+    """Bring a dump into a table: its rows replace those with the same key, or with ``clear`` all; returns the number of its rows.
 
-def load(spark: SparkSession, path: str, table: str, clear: bool = False) -> int:
-    """Append a dump to a table path, or replace it; returns the number of rows."""
-    rows = read(spark, path)
+    Of rows with equal keys in the dump one is taken. A dump without a key, or a table that isn't there yet, has nothing to replace.
+    """
+    _, key = mapping(spark, path)
+    rows = checkpoint(read(spark, path))
     n = rows.count()
-    if n:
-        rows.write.mode("overwrite" if clear else "append").parquet(table)
+    fresh = rows.dropDuplicates([key]) if key else rows
+    store.recover(spark, table)
+    root, name = table.rsplit("/", 1)
+    if not clear and store.tables(spark, root, name):
+        old = spark.read.parquet(table).select(*rows.columns)
+        fresh = (old.join(fresh.select(key), key, "left_anti").select(*rows.columns) if key else old).unionByName(fresh)
+    if n or clear:
+        store.replace_table(fresh, table, partition_by)
     return n
