@@ -314,3 +314,20 @@ def test_settings():
     assert Settings.from_env({}) == Settings() and Settings.from_env({"PRESSWORK_SCAN": "500", "PRESSWORK_ROOT": "r", "PRESSWORK_FETCH_TIMEOUT": "1.5"}) == Settings(root="r", scan=500, fetch_timeout=1.5)
     with pytest.raises(ValueError):
         Settings.from_env({"PRESSWORK_SCAN": "many"})
+
+
+def test_nearest_over_several_blocks(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(cluster, "BLOCK", 16)
+    rng = np.random.default_rng(1)
+    rows = [(f"{k:03d}", "ab"[k % 2], rng.integers(-2, 3, 4).astype(float).tolist()) for k in range(100)] + [("none", "a", None), ("empty", "a", [])]
+    got = {}
+    for r in cluster.nearest(spark.createDataFrame(rows, "id string, col_name string, embedding array<double>"), 3).collect():
+        got.setdefault(r.id, []).append((r.place, r.other_id, r.cosine))
+    for i, c, v in rows[:100]:
+        a = np.array(v)
+        cos = lambda w: round(float(a @ w / (np.linalg.norm(a) * np.linalg.norm(w))), 9) + 0.0 if a.any() and np.any(w) else 0.0
+        want = sorted((-cos(np.array(w)), j) for j, d, w in rows[:100] if d == c and j != i)[:3]
+        assert [(n, j) for n, j, _ in sorted(got[i])] == [(n, j) for n, (_, j) in enumerate(want, 1)]
+    assert set(got) == {r[0] for r in rows[:100]}
