@@ -34,7 +34,7 @@ TOKENS, SEGMENTS, END_ID = 2048, 512, 1
 #: Sequences that a task keeps open.
 POOL = 64
 #: Bytes of text that are tokenized together; a longer text is taken alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 20
 TOKENIZER = "word_bpe_49k.json"
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"]
 
@@ -158,6 +158,7 @@ def packer(path: str, tokens: int, segments: int, loss: int | None, prompts: boo
                 p.add((n, n - without, doc, 0, ids[start:end].copy(), n), _cut_ids)
                 start = end
             del ids
+            give_back()
             if len(out) > 10_000:
                 yield rows()
         p.flush(_cut_ids)

@@ -285,7 +285,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text", 1 << 20):
         sets = pa.array([shingle_set(t) for t in part["text"].to_pylist()], pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([part["_pw_row"], sets], ["id", "s"])
-    give_back()
+        give_back()
 
 
 def parity_sketch(s: np.ndarray) -> bytes:
@@ -329,7 +329,7 @@ def _prefixes(frequent: np.ndarray, ranks: np.ndarray):
                 [part["_pw_row"], pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(n, pa.int32()), pa.array(sketch, pa.binary()), pa.array(list(prefix), pa.list_(pa.int64()))],
                 ["id", "low", "high", "n", "sketch", "prefix"],
             )
-        give_back()
+            give_back()
 
     return run
 
@@ -380,6 +380,7 @@ def _pair_batch(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBat
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """First candidates: the next possible of three in a bucket's own random order, as many pairs as three times the rows at most."""
+    give_back()
     for rows in _whole_buckets(batches):
         token, ids, n, at = (rows[c].to_numpy().astype(np.int64) for c in ("token", "id", "n", "at"))
         left, right = [], []
@@ -411,6 +412,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield _pair_batch(left, right)
                     left, right, made = [], [], 0
         yield _pair_batch(left, right)
+        give_back()
 
 
 def _sketches_allow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,6 +421,7 @@ def _sketches_allow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         a, b, na, nb, ka, kb = (batch[c].to_pylist() for c in ("a", "b", "na", "nb", "ka", "kb"))
         may = [9 * sketch_distance(x, y) <= n + m for x, y, n, m in zip(ka, kb, na, nb)]
         yield batch.select(["a", "b"]).filter(pa.array(may, pa.bool_()))
+        give_back()
 
 
 def _verified(rows: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:

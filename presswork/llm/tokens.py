@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct words that a worker remembers, or those of one batch if they are more.
-CACHE = 400_000
+CACHE = 250_000
 _PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 _TAIL = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:%&$#*\"()+=_~-]+)( |$)"  # no apostrophe, and nothing that special tokens have
 _SAMPLES = ["Thtionnd,", "éèêaux", "Ñandú.", "straße", "a", "ÀÉ!?", "ÿ", "über;:", "x1, don't. É.. a.b, (c): ß", "a%%% b-, c_) d'&", "x<|endoftext|> <|endoftext|>, y"]
