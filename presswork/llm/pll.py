@@ -5,10 +5,10 @@ of these conditional log-probabilities. A token is a lower-cased word, hashed in
 gives that of its class, and the corpus counts that of the bucket within the class; together they sum to 1 over all buckets. The
 most frequent buckets have classes of their own, the others share the rest by hash.
 
-Counts cover all documents: each task adds up its buckets, so the arrays have a fixed size. Training windows are a fixed share of all
-windows, chosen by hash, so they grow with the corpus; they are dealt to shards of about ``SHARD_WINDOWS``, each trains a copy of the network in numpy,
-and the copies are averaged by an aggregation over the weights' positions, for ``ROUNDS`` rounds. What reaches the driver, and
-is broadcast, is one network and one array of counts, of a size that depends on neither rows nor vocabulary.
+Counts cover all documents: each task adds up its buckets, so the arrays have a fixed size. All windows of all documents train: each task makes one
+pass of minibatch descent in numpy over the windows of its own texts, with no shuffle of text or windows, and the copies are averaged, weighted by
+their windows. Averaging goes through ``GROUPS`` sums of vectors, so neither the rows shuffled nor what reaches the driver grows with more than
+the number of tasks: one network a task, ``GROUPS`` networks at the end, of a size that depends on neither rows nor vocabulary.
 
 Nulls and edges: null texts and texts without words have no tokens and score 0; repeated rows score alike; very long texts are
 scored in pieces with their neighbours; an empty table gives no rows; other columns are ignored.
@@ -22,15 +22,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from presswork.llm.common import table
-from presswork.session import checkpoint
+from presswork.llm.common import give_back, slices, table
 
 BUCKETS, CLASSES, SHARED = 1 << 18, 128, 16
 SIDE, EMBEDDINGS, WIDTH, HIDDEN = 2, 1 << 13, 16, 32
-#: One window in this many is used for training.
-ONE_IN, SHARD_WINDOWS, ROUNDS, BATCH, RATE = 64, 300_000, 2, 1024, 0.4
+#: Windows of a step, the first rate, after how many windows of a task it is halved, and sums that reach the driver.
+BATCH, RATE, HALVED, GROUPS = 1024, 0.4, 2_000_000, 16
+#: Bytes of text whose windows are made together.
+SLICE_BYTES = 1 << 20
 _PIECE, _PAD = 1 << 16, BUCKETS
 
 
@@ -170,50 +172,55 @@ def corpus_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The chosen windows; the choice depends on the window alone, so reruns agree."""
+def windows(ids: np.ndarray) -> np.ndarray:
+    """Each token with its neighbours: center first, then contexts."""
+    return np.concatenate([ids[:, None].astype(np.int64), contexts(ids)], axis=1)
+
+
+def fit(weights: np.ndarray, texts: Iterator[pa.Array], classes: np.ndarray) -> tuple[np.ndarray, int]:
+    """One pass over all windows of the texts, mixed within each array in an order that reruns repeat; new weights and the number of windows."""
+    seen = 0
+    for text in texts:
+        made = [windows(ids) for ids in tokens(text) if len(ids)]
+        if made:
+            rows = np.concatenate(made)
+            rows = rows[np.random.default_rng(len(rows)).permutation(len(rows))]
+            weights = train_steps(weights, rows, classes, RATE / (1 + seen / HALVED))
+            seen += len(rows)
+    return weights, seen
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The weighted sum of a group's networks."""
+    total, seen = np.zeros(len(initial())), 0
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            made = []
-            for ids in tokens(batch["text"].slice(at, 1000)):
-                mixed = (ids.astype(np.uint64) * np.uint64(2654435761) + np.arange(len(ids), dtype=np.uint64) * np.uint64(40503) + np.uint64(len(ids))) >> np.uint64(7)
-                chosen = np.flatnonzero(mixed % np.uint64(ONE_IN) == 0)
-                if len(chosen):
-                    made.append(np.concatenate([ids[chosen, None], contexts(ids)[chosen]], axis=1))
-            if made:
-                rows = np.concatenate(made).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T], [f"t{k}" for k in range(rows.shape[1])])
+        for n, w in zip(batch["n"].to_pylist(), batch["w"]):
+            total += n * np.frombuffer(w.as_py(), dtype=np.float32).astype(np.float64)
+            seen += n
+    if seen:
+        yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([total.tobytes()])], ["n", "w"])
 
 
 def train(docs: DataFrame, counts: np.ndarray) -> np.ndarray:
-    """Weights of the network, averaged over shards of windows from all documents."""
-    spark = docs.sparkSession
-    columns = [f"t{k}" for k in range(2 * SIDE + 1)]
-    windows = docs.select("text").mapInArrow(_windows, ", ".join(f"{c} int" for c in columns))
-    windows = checkpoint(windows)
-    shards = max(1, round(windows.count() / SHARD_WINDOWS))
-    # dealt by hash, with the columns in the order of the hash, so that a shard's passes don't depend on the order of arrival
-    home = F.pmod(F.xxhash64(*columns), F.lit(shards)).cast("int")
-    dealt = checkpoint(windows.repartitionById(shards, home).sortWithinPartitions(F.xxhash64(F.lit(1), *columns)))
-    weights, classes = initial(), spark.sparkContext.broadcast(classes_of(counts))
-    for k in range(ROUNDS):
-        now = spark.sparkContext.broadcast(weights)
-        rate = RATE / (k + 1)
-
-        def fit(batches: Iterator[pa.RecordBatch], now=now, rate=rate) -> Iterator[pa.RecordBatch]:
-            mine, any_ = now.value, False
-            for batch in batches:
-                if batch.num_rows:
-                    any_ = True
-                    mine = train_steps(mine, np.stack([c.to_numpy() for c in batch.columns], axis=1).astype(np.int64), classes.value, rate)
-            if any_:
-                yield pa.RecordBatch.from_arrays([pa.array([mine.tolist()], pa.list_(pa.float32()))], ["w"])
-
-        mean = dealt.mapInArrow(fit, "w array<float>").select(F.posexplode("w").alias("at", "w")).groupBy("at").agg(F.avg("w").cast("float").alias("w")).toArrow()
-        if mean.num_rows:
-            weights = np.zeros_like(weights)
-            weights[mean["at"].to_numpy()] = mean["w"].to_numpy()  # one row a weight
-    return weights
+    """Weights of the network, averaged over tasks that together see every window of every document."""
+    classes, start = docs.sparkSession.sparkContext.broadcast(classes_of(counts)), initial()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        mine, n = fit(start, (part["text"] for part in slices(batches, "text", SLICE_BYTES)), classes.value)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([context.partitionId() if context else 0]), pa.array([n]), pa.array([mine.astype(np.float32).tobytes()])], ["part", "n", "w"])
+        give_back()
+
+    rows = docs.select(F.col("text").cast("string").alias("text"))
+    copies = rows.mapInArrow(run, "part long, n long, w binary").repartition(GROUPS, "part").sortWithinPartitions("part")
+    sums = copies.mapInArrow(_add, "n long, w binary").toArrow()  # at most GROUPS rows
+    seen = sum(sums["n"].to_pylist())
+    if not seen:
+        return start
+    # smallest first, so that the order of arrival doesn't matter
+    parts = sorted(zip(sums["n"].to_pylist(), sums["w"].to_pylist()))
+    return (sum(np.frombuffer(w, dtype=np.float64) for _, w in parts) / seen).astype(np.float32)
 
 
 def score(docs: DataFrame) -> DataFrame:

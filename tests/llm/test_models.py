@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from presswork.llm import license, mix, pack, pll, quality, simhash
@@ -331,3 +332,43 @@ def test_license_gates_lose_no_unit():
             known = sum((c * idf[w] / largest) ** 2 for w, c in Counter(unit).items() if w in idf)
             assert keys & set(unit) and known * (1 / license.LEAST**2 - 1) >= len(set(unit) - set(idf)) * (1 - 1e-6)
     assert reached > 100
+
+
+def test_training_equals_a_plain_loop(spark):
+    """One task, in small batches: the weights are those of gradient descent written out, one window and one weight at a time."""
+    rows = [(k, sentence(random.Random(k), 30)) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    counts = pll.corpus_counts(docs)
+    got = pll._unpacked(pll.train(docs, counts))
+    classes = pll.classes_of(counts)
+    made = np.concatenate([pll.windows(x) for x in pll.tokens(pa.array([t for _, t in rows]))])
+    assert len(made) == 180  # every window, in one step
+    e, w1, b1, w2, b2 = (x.astype(np.float64) for x in pll._unpacked(pll.initial()))
+    ge, gw1, gb1, gw2, gb2 = (np.zeros_like(x) for x in (e, w1, b1, w2, b2))
+    for center, *sides in made.tolist():
+        at = [pll.EMBEDDINGS if x == pll._PAD else x % pll.EMBEDDINGS for x in sides]
+        h = np.tanh(sum(e[a] @ w1[p] for p, a in enumerate(at)) + b1)
+        z = np.exp(h @ w2 + b2)
+        z /= z.sum()
+        z[classes[center]] -= 1
+        back = (w2 @ z) * (1 - h * h)
+        gw2 += np.outer(h, z)
+        gb2 += z
+        gb1 += back
+        for p, a in enumerate(at):
+            gw1[p] += np.outer(e[a], back)
+            ge[a] += w1[p] @ back * 8
+    for new, old, g in zip(got, (e, w1, b1, w2, b2), (ge, gw1, gb1, gw2, gb2)):
+        assert np.allclose(new, old - pll.RATE / len(made) * g, atol=1e-5)
+
+
+def test_training_is_weighted_over_tasks(spark):
+    rows = [(k, sentence(random.Random(k), 20 + 60 * (k % 2))) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionById(4, F.col("doc_id").cast("int"))
+    counts = pll.corpus_counts(docs)
+    classes, want, total = pll.classes_of(counts), 0.0, 0
+    for _, text in rows:
+        w, n = pll.fit(pll.initial(), iter([pa.array([text])]), classes)
+        want, total = want + n * w.astype(np.float64), total + n
+    assert np.allclose(pll.train(docs, counts), want / total, atol=1e-6)
+    assert (pll.train(docs.where("false"), counts) == pll.initial()).all()
