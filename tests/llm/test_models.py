@@ -372,3 +372,42 @@ def test_training_is_weighted_over_tasks(spark):
         want, total = want + n * w.astype(np.float64), total + n
     assert np.allclose(pll.train(docs, counts), want / total, atol=1e-6)
     assert (pll.train(docs.where("false"), counts) == pll.initial()).all()
+
+
+def test_scores_by_joins_equal_those_of_the_broadcast_model(spark):
+    rng = random.Random(8)
+    sample = spark.createDataFrame([(sentence(rng, 30),) for _ in range(20)], "text string")
+    model = quality.train(sample)
+    texts = [sentence(rng, 12), "Unseen! ünï", "", None, "a", sentence(rng, 200), sentence(rng, 12)]
+    rows = spark.createDataFrame([*enumerate(texts), (7, texts[0])], "_pw_row long, text string")
+    old, quality._PIECE = quality._PIECE, 101
+    try:
+        got = {r._pw_row: (r._pw_nll, r._pw_n) for r in quality.score_by_joins(rows, *quality.fit_tables(sample)).collect()}
+    finally:
+        quality._PIECE = old
+    assert set(got) == {0, 1, 4, 5, 6, 7} and got[0] == got[7]
+    for k, (nll, n) in got.items():
+        assert (nll, n) == (pytest.approx(quality.text_score(model, texts[k % 7])[0], rel=1e-6), len(texts[k % 7]))
+
+
+def test_quality_query_on_a_fixture(spark, tmp_path):
+    """The registered query: one row a document, thresholds that are quantiles of held-out trusted rows, junk rejected."""
+    rows, labels = corpus(random.Random(4), 260, 40)
+    spark.createDataFrame(rows + edge_rows(), DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = quality.op2_quality(spark, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in out) == sorted(str(r[0]) for r in rows + edge_rows())
+    assert all(r.keep == (not r.perplexity > r.threshold) for r in out)
+    docs = spark.createDataFrame(rows + edge_rows(), DOCS)
+    trusted = quality.trusted_ids(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    sample = {r.doc_id for r in quality._sample_ids(docs, trusted).collect()}
+    held = {r.doc_id for r in trusted.collect()} - sample
+    by_lang = {}
+    for r in out:
+        if r.doc_id in held and r.n_chars:
+            by_lang.setdefault(r.lang, []).append(r.perplexity)
+    own = {lang: max(x) for lang, x in by_lang.items() if len(x) >= quality.LEAST_TRUSTED}
+    common = max(v for x in by_lang.values() for v in x)
+    for r in out:
+        assert r.threshold == pytest.approx(own.get(r.lang, common))
+    assert not any(r.keep for r in out if r.doc_id is not None and 260 <= r.doc_id < 300)
