@@ -247,11 +247,10 @@ def page_context(spark, sf):
     )
 
 
-@query("""SELECT doc_id, 'H' || doc_id AS headline, replace(substr(text, 1, 200), '"', '') AS article FROM documents""")
+@query("""SELECT doc_id, 'H' || doc_id AS headline, text AS article FROM documents""")
 def parse_model_json(spark, sf):
-    """Fenced answers with thinking, preambles and raw line breaks, made from the texts and parsed whole; the SQL shows 200 characters of each."""
-    parsed = parsed_answers(A.table(spark, sf, "documents"))
-    return parsed.select("doc_id", "headline", F.regexp_replace(F.substring("article", 1, 200), '"', "").alias("article"))
+    """Fenced answers with thinking, preambles and raw line breaks, made from the whole texts and parsed back into them."""
+    return parsed_answers(A.table(spark, sf, "documents"))
 
 
 def parsed_answers(docs):
@@ -388,9 +387,19 @@ def supersede_apply(spark, sf):
     return marked.select("story_id", "is_current", "superseded_by")
 
 
-@query()
+@query((PREV + """
+, g AS (SELECT story_id || '/' || edition AS story_id, col_name, article_count, list_distinct(article_urls) AS urls FROM syntheses),
+r AS (SELECT *, row_number() OVER (PARTITION BY col_name ORDER BY article_count DESC, story_id) AS place FROM g),
+near AS (SELECT a.col_name, b.place AS later, list(a.place) AS earlier FROM r a JOIN r b ON a.col_name = b.col_name AND a.place < b.place
+         WHERE len(list_intersect(a.urls, b.urls)) / len(list_distinct(list_concat(a.urls, b.urls))) > 0.3 GROUP BY ALL),
+walk(col_name, place, kept) AS (
+  SELECT DISTINCT col_name, 0::BIGINT, []::BIGINT[] FROM r
+  UNION ALL
+  SELECT w.col_name, r.place, CASE WHEN len(list_intersect(w.kept, coalesce(n.earlier, []::BIGINT[]))) > 0 THEN w.kept ELSE list_append(w.kept, r.place) END
+  FROM walk w JOIN r ON r.col_name = w.col_name AND r.place = w.place + 1 LEFT JOIN near n ON n.col_name = r.col_name AND n.later = r.place)
+SELECT story_id, r.col_name, NOT list_contains(kept, r.place) AS dropped FROM r JOIN walk USING (col_name, place)""").replace("WITH anchors", "WITH RECURSIVE anchors", 1))
 def intra_batch_greedy(spark, sf):
-    """Stories of both editions as one batch, so that many overlap; checked against a plain loop in the tests."""
+    """Stories of both editions as one batch, so that many overlap."""
     rows = syntheses(spark, sf).withColumn("story_id", F.concat_ws("/", "story_id", "edition"))
     return dedup.greedy_batch(rows).select("story_id", "col_name", "dropped")
 
@@ -551,9 +560,15 @@ def synthesize_extractive(spark, sf):
     return synthesis.synthesize(prompts, "story_id")
 
 
-@query()
+@query(A.SQL + r"""
+, a AS (SELECT id, headline || CASE WHEN coalesce(summary, '') <> '' THEN chr(10) || chr(10) || summary ELSE '' END AS text FROM articles WHERE embedding IS NULL),
+w AS (SELECT id, ('0x' || substr(md5(word), 7, 2))::INTEGER & 63 AS at, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM a) GROUP BY ALL),
+l AS (SELECT id, sqrt(sum(n * n)) AS length FROM w GROUP BY id)
+SELECT a.id, list(round(coalesce(n / length, 0), 6) ORDER BY i) AS embedding FROM a CROSS JOIN range(64) t(i) LEFT JOIN l ON l.id = a.id LEFT JOIN w ON w.id = a.id AND w.at = i GROUP BY a.id""")
 def embed_missing(spark, sf):
-    return synthesis.embed_missing(A.articles(spark, sf))
+    """Vectors of hashed words, in which the last six bits of a word's fourth digest byte are its place."""
+    made = synthesis.embed_missing(A.articles(spark, sf))
+    return made.select("id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
 @query(A.SQL + " SELECT id, doc_id, headline, pub_date, image_url FROM articles")

@@ -1,7 +1,8 @@
 """The scheduled ingest loop: each micro-batch keeps new URLs only and appends them to the article table.
 
-State is the table itself: a batch is de-duplicated within, then joined against the stored URLs. With a checkpoint a restart
-goes on where it stopped; a batch number that is already in the run log is not written twice.
+State is the table itself: a batch is de-duplicated within, then joined against the stored URLs, of which only that column is read. With a
+checkpoint a restart goes on where it stopped; a batch that is tried again overwrites what it wrote before. ``schedule`` has the loop for runs
+at full hours, and how a signal stops it; a query is stopped with ``query.stop()``. ``watermarked`` keeps its state in the engine instead.
 """
 
 from __future__ import annotations
