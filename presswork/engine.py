@@ -150,7 +150,7 @@ class Engine:
     def plot(self, column: str = "") -> DataFrame:
         """The table of a scatter plot of stories."""
         self._known(column)
-        rows = self.articles().where(F.size("embedding") > 0)
+        rows = search.has_embedding(self.articles())
         rows = rows.where(F.col("col_name") == column) if column else rows
         return cluster.plot_table(rows, cluster.story_keys(rows, scan=self.settings.scan))
 

@@ -11,10 +11,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from presswork import schema
 from presswork.functions import ranking, text as X
 
-#: Newest first, ties by id: the order of articles within a story.
-ORDER = (F.desc_nulls_last, "pub_date"), (F.asc, "id")
-
-
 def with_position(articles: DataFrame, keys: list[str]) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("pub_date"), "id")
     return articles.withColumn("position", F.row_number().over(order))
@@ -32,12 +28,6 @@ def image_rank(bias: Column) -> Column:
     return F.when(place > 0, place).otherwise(len(schema.IMAGE_PREFERENCE) + 1)
 
 
-def histogram(rows: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
-    """A map from value to count per key, with keys in order."""
-    counted = rows.groupBy(*keys, value.alias("_v")).agg(F.count("*").alias("_n"))
-    return counted.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_v", "_n")))).alias(name))
-
-
 def article_refs(*, order: str = "position") -> Column:
     """The references of a story's articles, in order."""
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)

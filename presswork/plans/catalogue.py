@@ -294,7 +294,7 @@ def articles_by_bias(spark, sf):
 SELECT story_id, col_name, row_number() OVER w::INTEGER AS rank, lag(story_id) OVER w AS prev_id, lead(story_id) OVER w AS next_id FROM (SELECT *, {LIVE} AS hotness FROM stories)
 WINDOW w AS (PARTITION BY col_name ORDER BY hotness DESC, last_pub_date DESC NULLS LAST, story_id)""".replace("row_number() OVER w::INTEGER", "(row_number() OVER w)::INTEGER"))
 def prev_next_nav(spark, sf):
-    return rank.navigation(rank.with_hotness(stories(spark, sf), A.now()))
+    return rank.navigation_over_ranges(rank.with_hotness(stories(spark, sf), A.now()))
 
 
 @query(STORIES + f"""
