@@ -92,23 +92,24 @@ def train_steps(weights: np.ndarray, windows: np.ndarray, classes: np.ndarray, r
     """One pass of minibatch descent over windows (center, then contexts); returns new weights."""
     weights = weights.astype(np.float32).copy()
     e, w1, b1, w2, b2 = _unpacked(weights)
+    flat = w1.reshape(-1, HIDDEN)
     for at in range(0, len(windows), BATCH):
         part = windows[at : at + BATCH]
         n, want, rows = len(part), classes[part[:, 0]], _rows(part[:, 1:])
-        x = e[rows]
-        h = np.tanh(np.einsum("npw,pwh->nh", x, w1, optimize=True) + b1)
+        x = e[rows].reshape(n, -1)
+        h = np.tanh(x @ flat + b1)
         z = h @ w2 + b2
         z = np.exp(z - z.max(axis=1, keepdims=True))
         z /= z.sum(axis=1, keepdims=True)
         z[np.arange(n), want] -= 1
         z *= rate / n
         back = (z @ w2.T) * (1 - h * h)
-        to_x = np.einsum("nh,pwh->npw", back, w1, optimize=True)
+        to_x = back @ flat.T * 8
         w2 -= h.T @ z
         b2 -= z.sum(axis=0)
-        w1 -= np.einsum("npw,nh->pwh", x, back, optimize=True)
+        flat -= x.T @ back
         b1 -= back.sum(axis=0)
-        np.subtract.at(e, rows.ravel(), to_x.reshape(-1, WIDTH) * 8)
+        np.subtract.at(e.reshape(-1), (rows[:, :, None] * WIDTH + np.arange(WIDTH)).ravel(), to_x.ravel())  # one dimension, as that is fast
     return weights
 
 
