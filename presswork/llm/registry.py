@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from presswork.llm import fingerprint, license, mix, pack, pll, quality, shard, simhash, topk, urlfilter
+from presswork.llm import codes, fingerprint, license, mix, pack, pll, quality, shard, simhash, topk, urlfilter
 
 QUERIES = {
     "op1_mix_sources": mix.op1_mix_sources,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_fingerprint": fingerprint.op8_fingerprint,
     "op9_license_scan": license.op9_license_scan,
     "op10_pack": pack.op10_pack,
+    "op13_vector_codes": codes.op13_vector_codes,
 }
 ORACLE = {
     "op1_mix_sources": mix.OP1_SQL,
     "op6_top_k": topk.OP6_SQL,
     "op7_url_filter": urlfilter.OP7_SQL,
     "op9_license_scan": license.OP9_SQL,
+    "op13_vector_codes": codes.OP13_SQL,
 }
