@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from presswork.llm import codes, fingerprint, license, mix, pack, pll, quality, shard, simhash, topk, urlfilter
+from presswork.llm import codes, fingerprint, license, mix, pack, pll, quality, shard, simhash, topk, urlfilter, whiten
 
 QUERIES = {
     "op1_mix_sources": mix.op1_mix_sources,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_fingerprint": fingerprint.op8_fingerprint,
     "op9_license_scan": license.op9_license_scan,
     "op10_pack": pack.op10_pack,
+    "op11_whitening": whiten.op11_whitening,
     "op13_vector_codes": codes.op13_vector_codes,
 }
 ORACLE = {
