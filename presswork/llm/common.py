@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -76,3 +78,18 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # not glibc
         pass
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path beside the checkpoints, which all executors share; tests without such a folder get a temporary one."""
+    context = spark.sparkContext
+    at = context._jsc.sc().getCheckpointDir()
+    base = at.get() if at.isDefined() else context.getConf().get("spark.checkpoint.dir")
+    if not base and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{base or tempfile.mkdtemp(prefix='presswork-')}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from presswork.llm import codes, fingerprint, license, mix, pack, pll, quality, shard, simhash, topk, urlfilter, whiten
+from presswork.llm import codes, fingerprint, license, mix, pack, pll, quality, shard, simhash, topk, urlfilter, warc, whiten
 
 QUERIES = {
     "op1_mix_sources": mix.op1_mix_sources,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_license_scan": license.op9_license_scan,
     "op10_pack": pack.op10_pack,
     "op11_whitening": whiten.op11_whitening,
+    "op12_warc": warc.op12_warc,
     "op13_vector_codes": codes.op13_vector_codes,
 }
 ORACLE = {
@@ -23,5 +24,6 @@ ORACLE = {
     "op6_top_k": topk.OP6_SQL,
     "op7_url_filter": urlfilter.OP7_SQL,
     "op9_license_scan": license.OP9_SQL,
+    "op12_warc": warc.OP12_SQL,
     "op13_vector_codes": codes.OP13_SQL,
 }
