@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +47,34 @@ def checkpoint(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="presswork-"))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that executors share: where checkpoints are, or, for tests without such a folder, a temporary one."""
+    context = spark.sparkContext
+    at = context._jsc.sc().getCheckpointDir()
+    base = at.get() if at.isDefined() else context.getConf().get("spark.checkpoint.dir")
+    if not base and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return base or tempfile.mkdtemp(prefix="presswork-")
+
+
+@contextmanager
+def work_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function that writes a frame to the shared folder and reads it again; all goes when the block ends.
+
+    For algorithms that join their state with itself round after round: a checkpoint keeps the size that the plan before it was expected to
+    have, a join multiplies sizes, and after some squarings planning takes longer than the work. A table has the size that it has.
+    """
+    folder = f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
