@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from presswork import schema
 from presswork.functions import text as X
+from presswork.functions.markdown import commonmark_html
 from presswork.operators import rank, search, store
 
 STORIES, PER_COLUMN, PER_FRONT = 100, 20, 3
@@ -46,6 +47,11 @@ def _bias_bar() -> Column:
     return _cat('<div class="bias">', F.array_join(F.transform(F.array_sort(F.map_entries("bias_coverage")), part), ""), "</div>")
 
 
+def _body(rows: DataFrame) -> Column:
+    """The story's text; rows from before the field's present name have it under the former one."""
+    return X.body_text(F.col("article"), F.col("summary") if "summary" in rows.columns else F.lit(None).cast("string"))
+
+
 def story_pages(syntheses: DataFrame, now: Column, edition: int) -> DataFrame:
     """A page for each of the hottest current stories of each column, with links to its neighbours."""
     rows = rank.top_n(rank.with_hotness(syntheses.where(search.is_current()), now), STORIES)
@@ -53,8 +59,8 @@ def story_pages(syntheses: DataFrame, now: Column, edition: int) -> DataFrame:
     link = lambda c, text: F.when(F.col(c).isNotNull(), _cat('<a href="/story/', F.col(c), f'/">{text}</a>'))
     item = lambda a: F.concat(F.lit('<li><a href="'), X.escape_html(F.coalesce(a["url"], F.lit(""))), F.lit('">'), X.escape_html(F.coalesce(a["headline"], F.lit(""))), F.lit("</a> "), X.escape_html(F.coalesce(a["source_name"], F.lit(""))), F.lit("</li>"))
     body = _cat(
-        "<h1>", X.escape_html(F.col("generated_headline")), "</h1>", _bias_bar(), X.markdown_html(F.coalesce("article", F.lit(""))), "\n<h2>Coverage</h2>",
-        X.markdown_html(F.coalesce("analysis", F.lit(""))), "\n<ul>", F.array_join(F.transform("articles", item), ""), "</ul><nav>", link("prev_id", "Previous"), link("next_id", "Next"), "</nav>",
+        "<h1>", X.escape_html(F.col("generated_headline")), "</h1>", _bias_bar(), commonmark_html(_body(rows)), "\n<h2>Coverage</h2>",
+        commonmark_html(F.coalesce("analysis", F.lit(""))), "\n<ul>", F.array_join(F.transform("articles", item), ""), "</ul><nav>", link("prev_id", "Previous"), link("next_id", "Next"), "</nav>",
     )
     return placed.select(_cat("story/", F.col("story_id"), "/index.html").alias("path"), shell(F.col("generated_headline"), body, now, edition).alias("html"))
 

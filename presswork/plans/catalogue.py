@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from presswork import schema
 from presswork.functions import text as X
-from presswork.operators import cluster, dedup, pages, rank, search, stories as S, store, synthesis
+from presswork.functions.markdown import commonmark_html
+from presswork.operators import cluster, dedup, hdbscan, pages, rank, search, stories as S, store, synthesis
 from presswork.sources import articles as A, dumps, feeds, registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -707,6 +708,26 @@ def markdown_pages(spark, sf):
     return docs.select("doc_id", X.markdown_html(text).alias("html"))
 
 
+@query("""
+WITH t AS (SELECT doc_id, 'w ' || trim(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')) AS w FROM documents)
+SELECT doc_id, concat_ws(chr(10), '<h1>' || w || '</h1>', '<p>' || w || '</p>', '<ul>', '<li>' || w, '<ol>', '<li>' || w || '</li>', '<li><em>' || w || '</em></li>', '</ol>',
+  '</li>', '</ul>', '<blockquote>', '<p>' || w, 'lazy</p>', '</blockquote>', '<pre><code class="language-text">' || w || ' &lt;b&gt;', '</code></pre>',
+  '<p><em><strong>' || w || '</strong></em></p>', '<hr />', '<p><a href="http://a.example/?a=1&amp;b=2">' || w || '</a> <code>' || w || '</code></p>', '<h2>Sub</h2>', '') AS html
+FROM t WHERE w IS NOT NULL""")
+def markdown_blocks(spark, sf):
+    """The words of each text within every construct of CommonMark that stories use."""
+    words = F.concat(F.lit("w "), F.trim(F.regexp_replace("text", "[^A-Za-z0-9]+", " ")))
+    lines = ["# %s", "%s", "- %s", "  1. %s", "  2. _%s_", "", "> %s", "lazy", "", "```text", "%s <b>", "```", "***%s***", "***", "[%s](http://a.example/?a=1&b=2) `%s`", "", "Sub", "---"]
+    text = F.concat_ws("\n", *[F.replace(F.lit(x), F.lit("%s"), words) for x in lines])
+    return A.table(spark, sf, "documents").where("text is not null").select("doc_id", commonmark_html(text).alias("html"))
+
+
+@query()
+def hdbscan_whole(spark, sf):
+    """Clusters over all articles that have a vector, without a scan's limit; checked against a plain version in the tests."""
+    return hdbscan.hdbscan_whole(A.articles(spark, sf))
+
+
 @query()
 def site_pages(spark, sf):
     """All pages of an edition over the stories of the planted labels; their content is checked in the tests."""
