@@ -92,10 +92,10 @@ class Engine:
         return {"seen": rows.select("url").distinct().count(), "written": fresh.count()}
 
     def embed(self, limit: int | None = None, batch: int | None = None) -> int:
-        """Fill in missing vectors, newest first; rows that the model leaves out stay without."""
+        """Fill in missing vectors, newest first; rows that the model leaves out stay without. Only months that get a vector are written."""
         rows = self.articles()
         made = checkpoint(synthesis.embed_missing(rows, self.vectors, limit, batch or self.settings.embed_batch))
-        store.replace_table(store.update_column(rows, made, "id", "embedding"), self._path("articles"), "ym")
+        store.update_partitions(self.spark, self._path("articles"), made, "id", "embedding", "ym")
         return made.where("embedding is not null").count()
 
     # reads

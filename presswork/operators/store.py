@@ -92,8 +92,14 @@ def file_system(spark: SparkSession, path: str):
 
 
 def recover(spark: SparkSession, path: str) -> None:
-    """Finish or undo a swap that was cut short: without a table, the one set aside comes back; with one, that goes."""
+    """Finish or undo a swap that was cut short: without a table, or a partition, the one set aside comes back; with one, that goes."""
     fs, at = file_system(spark, path)
+    if fs.exists(at(f"{path}.parts")):
+        for part in fs.listStatus(at(f"{path}.parts")):
+            home = at(f"{path}/{part.getPath().getName()}")
+            if not fs.exists(home) and not fs.rename(part.getPath(), home):
+                raise OSError(f"cannot put back {home}")
+        fs.delete(at(f"{path}.parts"), True)
     if not fs.exists(at(f"{path}.old")):
         return
     if fs.exists(at(path)):
@@ -119,6 +125,40 @@ def replace_table(rows: DataFrame, path: str, partition_by: str | None = None) -
     fs.delete(at(f"{path}.old"), True)
 
 
+def replace_partitions(rows: DataFrame, path: str, partition_by: str) -> list[str]:
+    """Put whole partitions in the place of those at ``path``; all others keep their files. Returns the partitions' folders.
+
+    ``rows`` may derive from the table. Each partition is set aside until its next one has its name; a crash leaves each of them old or new.
+    """
+    spark = rows.sparkSession
+    fs, at = file_system(spark, path)
+    rows.write.mode("overwrite").partitionBy(partition_by).parquet(f"{path}.next")
+    recover(spark, path)
+    names = sorted(f.getPath().getName() for f in fs.listStatus(at(f"{path}.next")) if f.isDirectory() and f.getPath().getName().startswith(f"{partition_by}="))
+    fs.mkdirs(at(f"{path}.parts"))
+    for name in names:
+        if fs.exists(at(f"{path}/{name}")) and not fs.rename(at(f"{path}/{name}"), at(f"{path}.parts/{name}")):
+            raise OSError(f"cannot set aside {path}/{name}")
+        if not fs.rename(at(f"{path}.next/{name}"), at(f"{path}/{name}")):
+            raise OSError(f"cannot put the next {path}/{name} in place")
+    fs.delete(at(f"{path}.parts"), True)
+    fs.delete(at(f"{path}.next"), True)
+    return names
+
+
+def update_partitions(spark: SparkSession, path: str, updates: DataFrame, key: str, name: str, partition_by: str) -> list[str]:
+    """``update_column`` on the table at ``path``, writing only the partitions that hold an updated key. ``updates`` is a checkpoint."""
+    recover(spark, path)
+    base = spark.read.parquet(path)
+    changed = updates.where(F.col(name).isNotNull()).select(key).distinct()
+    touched = [r[0] for r in base.select(key, partition_by).join(changed, key, "left_semi").select(partition_by).distinct().collect()]  # months, not rows
+    if not touched:
+        return []
+    hit = F.coalesce(F.col(partition_by).isin([t for t in touched if t is not None]), F.lit(False))
+    rows = base.where(hit | F.col(partition_by).isNull() if None in touched else hit)
+    return replace_partitions(update_column(rows, updates, key, name), path, partition_by)
+
+
 def ensure_table(spark: SparkSession, path: str, columns: StructType) -> bool:
     """Create an empty table with a schema if there is none; whether it was made."""
     recover(spark, path)
@@ -167,7 +207,7 @@ def tables(spark: SparkSession, root: str, pattern: str = "*") -> list[str]:
     """Names of the tables below a root that match a pattern, in order."""
     fs, at = file_system(spark, root)
     found = fs.globStatus(at(f"{root}/{pattern}")) or []
-    return sorted(f.getPath().getName() for f in found if f.isDirectory() and not f.getPath().getName().endswith((".next", ".old")))
+    return sorted(f.getPath().getName() for f in found if f.isDirectory() and not f.getPath().getName().endswith((".next", ".old", ".parts")))
 
 
 def files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
