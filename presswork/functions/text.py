@@ -1,12 +1,13 @@
-"""Text, date and JSON functions. All are Column expressions."""
+"""Text, date and JSON functions, as Column expressions; only dates that aren't ISO 8601 go through Arrow."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 
 from pyspark.sql import Column, functions as F
 
 from presswork import schema
+from presswork.functions.dates import free_date
 
 
 def literal_map(values: Mapping[str, str]) -> Column:
@@ -82,27 +83,10 @@ def parse_json(noisy: Column, fields: str) -> Column:
     return F.from_json(json_text(noisy), fields, {"allowUnquotedControlChars": "true"})
 
 
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _date(text: Column) -> Column:
-    """ISO 8601 as it stands; else the usual written forms, without weekday and commas, with zone names as offsets.
-
-    The forms' shapes exclude each other, so a text is parsed by one pattern.
-    """
-    bare = F.regexp_replace(F.regexp_replace(strip(text), r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+", ""), r"\s*,\s*|\s+", " ")
-    zone = lambda t: F.element_at(literal_map(schema.ZONES), F.upper(F.regexp_extract(t, " ([A-Za-z]{1,3})$", 1)))
-    offset = lambda t: F.coalesce(F.concat(F.regexp_replace(t, "[A-Za-z]+$", ""), zone(t)), t)
-    words = F.regexp_replace(F.regexp_replace(bind(bare, offset), r" ([+-]\d\d):(\d\d)$", " $1$2"), r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?", "$1")
-    words = F.regexp_replace(words, r"^(\d+) ([A-Za-z]{3}) (\d\d)( |$)", "$1 $2 20$3$4")
-    cased = F.regexp_replace(F.regexp_replace(F.initcap(words), " Am$", " AM"), " Pm$", " PM")
-
-    def parsed(t: Column) -> Column:
-        return F.coalesce(*[F.when(F.regexp_like(t, F.lit(f"^{shape}$")), F.try_to_timestamp(t, F.lit(pattern))) for shape, pattern in schema.DATE_FORMS.items()])
-
-    return F.coalesce(F.try_to_timestamp(text), bind(cased, parsed))
+    """ISO 8601 as it stands, else by the grammar of written dates."""
+    iso = F.try_to_timestamp(text)
+    return F.coalesce(iso, free_date(F.when(iso.isNull(), text)))
 
 
 def timestamp_cascade(*texts: Column, default: Column) -> Column:

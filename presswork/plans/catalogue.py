@@ -671,6 +671,23 @@ def written_dates(spark, sf):
     return rows.select("event_id", X.timestamp_cascade(text, default=F.lit(None).cast("timestamp")).alias("at"))
 
 
+@query("""
+SELECT event_id, CASE event_id % 10 WHEN 1 THEN date_trunc('second', ts) WHEN 2 THEN date_trunc('second', ts) WHEN 3 THEN date_trunc('day', ts) WHEN 4 THEN date_trunc('hour', ts)
+  WHEN 5 THEN date_trunc('day', ts) WHEN 6 THEN date_trunc('month', ts) WHEN 8 THEN date_trunc('milliseconds', ts) ELSE date_trunc('minute', ts) END AS at FROM events""")
+def free_dates(spark, sf):
+    """Dates of events as people write them: zones, ordinals, either order of day and month, dots, compact, without a day."""
+    rows = A.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    shifted = lambda m: F.col("ts") + F.make_dt_interval(mins=F.lit(m))
+    written = lambda pattern, ts="ts": F.date_format(ts, pattern)
+    forms = [
+        F.concat(written("yyyy-MM-dd HH:mm", shifted(-300)), F.lit(" EST")), written("EEE, dd MMM yyyy HH:mm:ss 'BST'"), written("yyyyMMdd'T'HHmmss'Z'"), written("MM.dd.yyyy"),
+        F.concat(written("EEEE, d"), F.lit("th "), written("MMMM yyyy 'at' ha")), F.when(F.dayofmonth("ts") > 12, written("d/M/yyyy")).otherwise(written("M/d/yyyy")),
+        written("MMM yyyy"), written("h:mm a 'on' MMMM d, yyyy"), written("yyyy.M.d HH:mm:ss,SSS"), F.concat(written("d-MMM-yy HH:mm", shifted(330)), F.lit(" +0530")),
+    ]
+    text = F.element_at(F.array(*forms), (F.col("event_id") % 10 + 1).cast("int"))
+    return rows.select("event_id", X.timestamp_cascade(text, default=F.lit(None).cast("timestamp")).alias("at"))
+
+
 @query(A.SQL + f"""
 SELECT id, round(1 + {_COS.format("a.embedding", "q.embedding")}, 6) AS score, round(1 / (2 - {_COS.format("a.embedding", "q.embedding")}), 6) AS index_score
 FROM articles a, (SELECT arg_min(embedding, vec_id) AS embedding FROM vectors) q

@@ -80,21 +80,3 @@ ZONES = {
     "GMT": "+0000", "UTC": "+0000", "UT": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500",
     "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700",
 }
-#: Written dates by shape, with the pattern that reads them.
-DATE_FORMS = {
-    r"\d{1,2} [A-Z][a-z]{2} \d{4} \d{1,2}:\d\d:\d\d [+-]\d{4}": "d MMM yyyy H:mm:ss Z",
-    r"\d{1,2} [A-Z][a-z]{2} \d{4} \d{1,2}:\d\d [+-]\d{4}": "d MMM yyyy H:mm Z",
-    r"\d{1,2} [A-Z][a-z]{2} \d{4} \d{1,2}:\d\d:\d\d": "d MMM yyyy H:mm:ss",
-    r"\d{1,2} [A-Z][a-z]{2} \d{4} \d{1,2}:\d\d": "d MMM yyyy H:mm",
-    r"\d{1,2} [A-Z][a-z]{2} \d{4}": "d MMM yyyy",
-    r"[A-Z][a-z]{2} \d{1,2} \d{4} \d{1,2}:\d\d:\d\d": "MMM d yyyy H:mm:ss",
-    r"[A-Z][a-z]{2} \d{1,2} \d{4} \d{1,2}:\d\d [AP]M": "MMM d yyyy h:mm a",
-    r"[A-Z][a-z]{2} \d{1,2} \d{4} \d{1,2}:\d\d": "MMM d yyyy H:mm",
-    r"[A-Z][a-z]{2} \d{1,2} \d{4}": "MMM d yyyy",
-    r"[A-Z][a-z]{2} \d{1,2} \d{1,2}:\d\d:\d\d \d{4}": "MMM d H:mm:ss yyyy",
-    r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d\d:\d\d": "M/d/yyyy H:mm:ss",
-    r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d\d": "M/d/yyyy H:mm",
-    r"\d{1,2}/\d{1,2}/\d{4}": "M/d/yyyy",
-    r"\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d\d:\d\d": "yyyy/M/d H:mm:ss",
-    r"\d{4}/\d{1,2}/\d{1,2}": "yyyy/M/d",
-}
