@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from presswork import schema
 from presswork.functions import text as X
 from presswork.functions.markdown import commonmark_html
-from presswork.operators import cluster, dedup, hdbscan, pages, rank, search, stories as S, store, synthesis, vector_index
+from presswork.operators import cluster, dedup, hdbscan, layout, pages, rank, search, stories as S, store, synthesis, vector_index
 from presswork.session import checkpoint, delete_folder, shared_folder
 from presswork.sources import articles as A, dumps, feeds, registry
 
@@ -754,6 +754,12 @@ def markdown_blocks(spark, sf):
     return A.table(spark, sf, "documents").where("text is not null").select("doc_id", commonmark_html(text).alias("html"))
 
 
+@query()
+def layout_2d(spark, sf):
+    """Two dimensions of all articles by the graph of their neighbours; its trustworthiness is measured in the tests."""
+    return layout.layout_2d(A.articles(spark, sf))
+
+
 @query()
 def hdbscan_whole(spark, sf):
     """Clusters over all articles that have a vector, without a scan's limit; checked against a plain version in the tests."""
