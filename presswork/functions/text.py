@@ -8,6 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from presswork import schema
 from presswork.functions.dates import free_date
+from presswork.functions.hosts import ascii_host
 
 
 def literal_map(values: Mapping[str, str]) -> Column:
@@ -164,7 +165,7 @@ def index_uri(uri: Column) -> Column:
 def normal_url(url: Column) -> Column:
     """Scheme and host in lower case, no default port, an empty path as a slash; null unless it is http(s) with a plausible host and port.
 
-    Hosts are not turned into their ASCII form.
+    Hosts beyond ASCII are turned into their ASCII form; only they go through Arrow.
     """
     host = r"(?:[^/?#\s@]*@)?(?:[^/?#\s@:\[\]<>^|\\%\"]+|\[[0-9a-fA-F:.]+\])(?::\d{1,5})?"
     ok = F.regexp_like(url, F.lit(rf"(?i)^https?://{host}(?:[/?#]\S*)?$")) & (F.length(url) <= 2083)
@@ -172,6 +173,9 @@ def normal_url(url: Column) -> Column:
     head = F.lower(F.regexp_extract(url, r"^([^:]+://[^/?#]*)", 1))
     head = F.regexp_replace(F.regexp_replace(head, r"^(http://.*):80$", "$1"), r"^(https://.*):443$", "$1")
     rest = F.regexp_extract(url, r"^[^:]+://[^/?#]*(.*)$", 1)
+    before, host, port = (F.regexp_extract(head, r"^([a-z]+://(?:[^@]*@)?)(.*?)(:\d+)?$", k) for k in (1, 2, 3))
+    foreign = F.regexp_like(host, F.lit(r"[^\x00-\x7F]"))
+    head = F.when(foreign, F.concat(before, ascii_host(F.when(foreign, host)), port)).otherwise(head)
     return F.when(ok, F.concat(head, F.when(F.startswith(rest, F.lit("/")), rest).otherwise(F.concat(F.lit("/"), rest))))
 
 
