@@ -21,15 +21,40 @@ _ENTRY = (
     "array<struct<title:string,link:array<struct<_href:string,_rel:string,_type:string>>,summary:string,content:string,published:string,updated:string,"
     f"created:string,thumbnail:array<{_URL}>,media_content:array<{_URL}>>>"
 )
+#: A feed may have so many bytes.
+MOST_BYTES = 20 << 20
 #: What a feed's root may hold: a channel of items (RSS 0.9x and 2), items beside it (RSS 1), or entries (Atom).
 FEED = f"channel struct<item:{_ITEM}>, item {_ITEM}, entry {_ENTRY}"
 
 
-def http_get(url: str, timeout: float = 30.0, agent: str = "presswork/1.0") -> str:
-    """The text at a URL; redirects are followed, an error status raises."""
-    request = urllib.request.Request(url, headers={"User-Agent": agent})
-    with urllib.request.urlopen(request, timeout=timeout) as answer:
-        return answer.read().decode(answer.headers.get_content_charset() or "utf-8", "replace")
+def _opener() -> urllib.request.OpenerDirector:
+    """HTTP and nothing else: no files, FTP or data URLs, whatever a registry or a redirect says."""
+    opener = urllib.request.OpenerDirector()
+    for handler in ("Proxy", "HTTP", "HTTPS", "HTTPDefaultError", "HTTPRedirect", "Unknown"):
+        opener.add_handler(getattr(urllib.request, f"{handler}Handler")())
+    opener.add_handler(urllib.request.HTTPErrorProcessor())
+    return opener
+
+
+def _open(url: str, timeout: float, agent: str, method: str = "GET"):
+    if not url.lower().startswith(("http://", "https://")):
+        raise ValueError(f"not an HTTP address: {url[:100]}")
+    return _opener().open(urllib.request.Request(url, headers={"User-Agent": agent}, method=method), timeout=timeout)
+
+
+def http_get(url: str, timeout: float = 30.0, agent: str = "presswork/1.0", most: int = MOST_BYTES) -> str:
+    """The text at an HTTP address, of at most ``most`` bytes; redirects are followed, an error status raises."""
+    with _open(url, timeout, agent) as answer:
+        data = answer.read(most + 1)
+        if len(data) > most:
+            raise ValueError(f"more than {most} bytes")
+        return data.decode(answer.headers.get_content_charset() or "utf-8", "replace")
+
+
+def http_version(url: str, timeout: float = 30.0, agent: str = "presswork/1.0") -> str | None:
+    """What an address says about its present content, without the content: entity tag, else date of change; null if neither."""
+    with _open(url, timeout, agent, "HEAD") as answer:
+        return answer.headers.get("ETag") or answer.headers.get("Last-Modified")
 
 
 def fetch(sources: DataFrame, get: Callable[[str], str] = http_get, parallel: int = 16) -> DataFrame:
