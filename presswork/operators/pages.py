@@ -1,16 +1,27 @@
-"""HTML pages as rows ``(path, html)``; writing them is the last step, and the only one on the driver.
+"""HTML pages as rows ``(path, html)``; executors write them, the driver puts them in their places.
 
 A site has one page a story, of at most ``STORIES`` a column, and a handful of others, so it is bounded.
 """
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from presswork import schema
 from presswork.functions import text as X
 from presswork.functions.markdown import commonmark_html
-from presswork.operators import rank, search, store
+from presswork.operators import rank, search
+from presswork.session import checkpoint
 
 STORIES, PER_COLUMN, PER_FRONT = 100, 20, 3
 TITLE = "Presswork"
@@ -100,16 +111,74 @@ def site(syntheses: DataFrame, now: Column, edition: int) -> DataFrame:
     return pages.unionByName(story_pages(syntheses, now, edition)).unionByName(about_page(syntheses.sparkSession, now, edition))
 
 
+@dataclass
+class Drafted(WriterCommitMessage):
+    """The pages one task has written: draft and path of each."""
+
+    pages: list[tuple[str, str]]
+
+
+def _files(root: str) -> tuple[fs.FileSystem, str]:
+    root = re.sub(r"^s3a:", "s3:", re.sub(r"^file:/+", "/", root))
+    return fs.FileSystem.from_uri(root if "://" in root else os.path.abspath(root))
+
+
+class _SiteWriter(DataSourceArrowWriter):
+    """Executors write drafts into a folder of the job's own; the commit alone touches the site."""
+
+    def __init__(self, root: str, clean: bool):
+        self.root, self.clean, self.drafts = root, clean, f"_drafts-{uuid.uuid4().hex}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Drafted:
+        files, root = _files(self.root)
+        files.create_dir(f"{root}/{self.drafts}", recursive=True)
+        done = []
+        for batch in iterator:
+            for path, html in zip(batch["path"].to_pylist(), batch["html"].to_pylist()):
+                draft = f"{self.drafts}/{uuid.uuid4().hex}"
+                with files.open_output_stream(f"{root}/{draft}", compression=None) as out:
+                    out.write((html or "").encode())
+                done.append((draft, path))
+        return Drafted(done)
+
+    def commit(self, messages: list[Drafted | None]) -> None:
+        files, root = _files(self.root)
+        files.create_dir(root, recursive=True)
+        if self.clean:
+            for entry in files.get_file_info(fs.FileSelector(root)):
+                if entry.base_name != self.drafts:
+                    (files.delete_dir if entry.type == fs.FileType.Directory else files.delete_file)(entry.path)
+        for draft, path in (p for m in messages if m for p in m.pages):
+            files.create_dir(f"{root}/{path}".rpartition("/")[0], recursive=True)
+            files.move(f"{root}/{draft}", f"{root}/{path}")
+        self.abort(messages)
+
+    def abort(self, messages: list[Drafted | None]) -> None:
+        files, root = _files(self.root)
+        if files.get_file_info(f"{root}/{self.drafts}").type == fs.FileType.Directory:
+            files.delete_dir(f"{root}/{self.drafts}")
+
+
+class Site(DataSource):
+    """Sink ``site`` for rows of ``path, html``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "site"
+
+    def schema(self) -> str:
+        return "path string, html string"
+
+    def writer(self, schema: StructType, overwrite: bool) -> _SiteWriter:
+        return _SiteWriter(self.options["path"], overwrite)
+
+
 def write(pages: DataFrame, root: str, clean: bool = False) -> int:
-    """Put each page at its path below ``root``, in any store Spark can write to; ``clean`` empties the folder first. Returns the number of pages."""
-    spark, n = pages.sparkSession, 0
-    fs, at = store.file_system(spark, root)
-    if clean and fs.exists(at(root)):
-        for entry in fs.listStatus(at(root)):
-            fs.delete(entry.getPath(), True)
-    for row in pages.toLocalIterator():
-        out = fs.create(at(f"{root}/{row.path}"), True)
-        out.write(bytearray(row.html.encode()))
-        out.close()
-        n += 1
-    return n
+    """Put each page at its path below ``root``; ``clean`` empties the folder first. Returns the number of pages.
+
+    Tasks write drafts side by side; pages take their places only when all drafts are there, so a job that fails leaves the site as it was.
+    """
+    pages.sparkSession.dataSource.register(Site)
+    pages = checkpoint(pages.select("path", "html"))
+    pages.write.format("site").option("path", root).mode("overwrite" if clean else "append").save()
+    return pages.count()
