@@ -9,7 +9,8 @@ merges the few best of each block.
 Queries and candidates are replicated along one side of the grid only; a cell's memory is one block and one chunk.
 
 Nulls and edges: vectors that are null or hold null or non-finite components take no part; missing components of shorter vectors
-count 0; a query leaves out its own row only, so a repeated row finds its twin; ties go to the smaller vec_id; fewer candidates than
+count 0; a query leaves out its own row only, so a repeated row finds its twin; ties go to the smaller vec_id, a
+null one last; rows without vec_id are candidates but no queries; fewer candidates than
 k give fewer rows; an empty table gives none; other columns are ignored.
 """
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from presswork.llm.common import table
@@ -26,6 +28,8 @@ K, QUERY_EVERY, SCALE = 5, 50, 256
 #: Rows of a block of candidates (it grows with the table up to the larger number) and of a chunk of queries.
 BLOCK, MOST_BLOCK, CHUNK = 4096, 65536, 4096
 FIRST_DEPTH = 16
+#: Where a row without vec_id stands among ties.
+LAST = (1 << 63) - 1
 
 
 def usable(vector: Column) -> Column:
@@ -110,10 +114,12 @@ def _cell(k: int):
         out: list[list] = [[], [], [], [], []]
         if queries.num_rows and candidates.num_rows:
             wide = max(matrix(queries["v"]).shape[1], matrix(candidates["v"]).shape[1])
-            lists = SortedLists(candidates["id"].to_numpy(), candidates["row"].to_numpy(), matrix(candidates["v"], wide))
+            ids, nameless = pc.fill_null(candidates["id"], LAST).to_numpy(), candidates["id"].is_null().to_numpy()
+            lists = SortedLists(ids, candidates["row"].to_numpy(), matrix(candidates["v"], wide))
+            nameless = nameless[np.argsort(ids, kind="stable")]
             for query, qid, qrow in zip(matrix(queries["v"], wide), queries["id"].to_pylist(), queries["row"].to_pylist()):
                 best, scores = lists.search(query, qrow, k)
-                for column, values in zip(out, ([qrow] * len(best), [qid] * len(best), lists.rows[best].tolist(), lists.ids[best].tolist(), scores.tolist())):
+                for column, values in zip(out, ([qrow] * len(best), [qid] * len(best), lists.rows[best].tolist(), [None if nameless[b] else int(lists.ids[b]) for b in best], scores.tolist())):
                     column.extend(values)
         return pa.table([pa.array(c, pa.int64()) for c in out], names=["query_row", "query_id", "row", "vec_id", "score"])
 
@@ -134,13 +140,13 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, n_candidates: i
         left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk"))
         .applyInArrow(_cell(k), "query_row long, query_id long, row long, vec_id long, score long")
     )
-    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row"))
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row"))
     return cells.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = (
-        table(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
+        table(spark, sf_dir, "embeddings").where(usable(F.col("embedding")))
         .select(F.col("vec_id").cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), to_integers(F.col("embedding")).alias("v"))
     )
     rows = checkpoint(rows)
