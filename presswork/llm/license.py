@@ -67,28 +67,38 @@ _UNLICENSE = "This is free and unencumbered software released into the public do
 #: Short notices, headers and bodies of licences by SPDX identifier; fixed values.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "Released under the Apache License, Version 2.0."),
     ("Apache-2.0", "Apache License Version 2.0, January 2004"),
     ("Apache-2.0", _APACHE),
     ("MIT", "Released under the MIT License."),
+    ("MIT", "Licensed under the MIT License."),
     ("MIT", "The MIT License (MIT)"),
     ("MIT", _MIT),
     ("MIT", _MIT + " " + _MIT_WARRANTY),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "Released under the GNU General Public License, version 3."),
     ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("GPL-3.0", _GPL.format(3)),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "Released under the GNU General Public License, version 2."),
     ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
     ("GPL-2.0", _GPL.format(2)),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "Released under the GNU Lesser General Public License, version 3."),
     ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("LGPL-3.0", _LGPL),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
     ("BSD-2-Clause", _BSD2),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("BSD-3-Clause", _BSD2 + " " + _BSD3),
     ("ISC", "Licensed under the ISC License."),
+    ("ISC", "Released under the ISC License."),
     ("ISC", _ISC),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
+    ("MPL-2.0", "Released under the Mozilla Public License, version 2.0."),
     ("MPL-2.0", _MPL),
     ("Unlicense", _UNLICENSE),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
