@@ -51,6 +51,19 @@ def numbered(docs: DataFrame, name: str = "_pw_row") -> DataFrame:
     return docs.withColumn(name, F.monotonically_increasing_id())
 
 
+def joined_on_hot(rows: DataFrame, classes: DataFrame, key: list[str], salts: int = 64) -> DataFrame:
+    """Rows joined with their class, unique by ``key``; a key may have a third of all rows.
+
+    Few classes are broadcast. Otherwise each class is repeated for ``salts`` salts, and its rows are dealt over them by their ``id``.
+    """
+    few, small = broadcast_if_small(classes)
+    if small:
+        return rows.join(few, key)
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    repeated = classes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(repeated, [*key, "_salt"]).drop("_salt")
+
+
 def without(rows: DataFrame, gone: DataFrame, key: str = "_pw_row") -> DataFrame:
     """Rows whose id is not among ``gone`` (distinct longs): broadcast if few, else an equi-join on unique ids."""
     few, _ = broadcast_if_small(gone, BROADCAST_IDS)

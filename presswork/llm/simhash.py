@@ -16,8 +16,10 @@ of at least 0.8, exactly. Two such sets share one of the first n - ceil(0.8 n) +
 all pairs that share one and pass bounds on sizes and positions are candidates, and each candidate is verified on the whole sets. In that order
 shingles that a sample shows to be frequent come last, which makes buckets small; no link depends on the sample. Equal sets are one vertex.
 Candidates are verified in two rounds: first at most ``FIRST`` a set, whose links give components; then all candidates between different
-components. So a large group of edited copies is not compared pair by pair, and no component is missed. Each round first compares parity
-sketches: a set of n has at least n bits, the k-th being the parity of how many shingles fall on k. Each shingle that only one of two sets has
+components. So a large group of edited copies is not compared pair by pair, and no component is missed. The first round looks only at the first ``LEADING``
+shingles of each set, so its candidates grow with the sets; the second looks at all buckets in which components meet. Of those with more than
+``CELL`` rows the largest component and the rest are dealt in parts, and a task compares two parts, never two of the largest component. Each row there carries a short parity sketch, and pairs that it rejects never leave their bucket.
+Each round then compares whole parity sketches: a set of n has at least n bits, the k-th being the parity of how many shingles fall on k. Each shingle that only one of two sets has
 flips one bit, so two sketches never differ in more bits than the sets differ in shingles; a pair whose sketches differ in more than similarity
 0.8 allows is no link, and only the pairs that remain fetch whole sets.
 
@@ -35,7 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from presswork.llm.common import BROADCAST_IDS, broadcast_if_small, give_back, numbered, slices, table, without
+from presswork.llm.common import BROADCAST_IDS, broadcast_if_small, give_back, joined_on_hot, numbered, slices, table, without
 from presswork.operators.graph import connected_components
 from presswork.session import checkpoint
 
@@ -44,8 +46,14 @@ SHINGLE, RADIUS = 3, 3
 SHINGLE_WIDE = 5
 #: Rows whose shingles are counted to find frequent ones, the least count there, and how many are kept at most.
 SAMPLE_ROWS, FREQUENT, MOST_FREQUENT = 10_000, 4, 100_000
-#: Candidates of a set in the first round.
-FIRST = 4
+#: Candidates of a set in the first round, and how many shingles of its prefix are looked up there.
+FIRST, LEADING = 4, 8
+#: Words of the short sketch that goes with a row into its buckets.
+SHORT = 4
+#: Rows of a bucket that one task compares with each other; larger buckets are dealt in parts of about this size.
+CELL = 4096
+#: Tasks over which the bucket of a frequent shingle is dealt in the first round.
+SALTS = 64
 #: Buckets up to this size are compared pair by pair.
 SMALL = 16
 _ONES = (1 << 64) - 1
@@ -295,6 +303,15 @@ def parity_sketch(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def short_sketch(sketch: bytes) -> list[int]:
+    """The sketch folded to ``SHORT`` words; shorter ones are filled up with zeros."""
+    x, n = int.from_bytes(sketch, "little"), len(sketch)
+    while n > 8 * SHORT:
+        n //= 2
+        x = (x >> 8 * n) ^ (x & ((1 << 8 * n) - 1))
+    return [_signed(x >> 64 * k & _ONES) for k in range(SHORT)]
+
+
 def sketch_distance(a: bytes, b: bytes) -> int:
     """Differing bits, after the longer sketch is folded to the size of the shorter: never more than the sets differ in elements."""
     if len(a) < len(b):
@@ -312,22 +329,23 @@ def prefix_length(n: int) -> int:
 
 
 def _prefixes(frequent: np.ndarray, ranks: np.ndarray):
-    """Digest, size, parity sketch and prefix of each row's set; ``frequent`` shingles (ascending) come last, by ``ranks``."""
+    """Digest, size, parity sketch and prefix of each row's set, and how many of its shingles are rare; ``frequent`` ones (ascending) come last, by ``ranks``."""
 
-    def one(s: np.ndarray) -> tuple[int, int, int, bytes, np.ndarray]:
+    def one(s: np.ndarray) -> tuple[int, int, int, bytes, np.ndarray, int]:
         digest = xxhash.xxh128_intdigest(s.tobytes(), SEED)
-        order = s
+        order, rare = s, len(s)
         if len(frequent):
             at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-            order = s[np.lexsort((s, np.where(frequent[at] == s, ranks[at], 0)))]
-        return _signed(digest & _ONES), _signed(digest >> 64), len(s), parity_sketch(s), order[: prefix_length(len(s))]
+            rank = np.where(frequent[at] == s, ranks[at], 0)
+            order, rare = s[np.lexsort((s, rank))], int((rank == 0).sum())
+        return _signed(digest & _ONES), _signed(digest >> 64), len(s), parity_sketch(s), order[: prefix_length(len(s))], rare
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 20):
-            low, high, n, sketch, prefix = zip(*[one(shingle_set(t)) for t in part["text"].to_pylist()])
+            low, high, n, sketch, prefix, rare = zip(*[one(shingle_set(t)) for t in part["text"].to_pylist()])
             yield pa.RecordBatch.from_arrays(
-                [part["_pw_row"], pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(n, pa.int32()), pa.array(sketch, pa.binary()), pa.array(list(prefix), pa.list_(pa.int64()))],
-                ["id", "low", "high", "n", "sketch", "prefix"],
+                [part["_pw_row"], pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(n, pa.int32()), pa.array(sketch, pa.binary()), pa.array([short_sketch(x) for x in sketch], pa.list_(pa.int64())), pa.array(list(prefix), pa.list_(pa.int64())), pa.array(rare, pa.int32())],
+                ["id", "low", "high", "n", "sketch", "short", "prefix", "rare"],
             )
             give_back()
 
@@ -359,11 +377,11 @@ def _spans(token: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows that are not alone in their bucket."""
+    """Rows that are not alone in their bucket, and those of frequent shingles, whose buckets are dealt over several tasks."""
     for rows in _whole_buckets(batches):
-        token = rows["token"].to_numpy()
+        token, dealt = rows["token"].to_numpy(), rows["salt"].to_numpy() > 0
         same = token[1:] == token[:-1]
-        yield from rows.filter(pa.array(np.append(same, False) | np.insert(same, 0, False))).to_batches()
+        yield from rows.filter(pa.array(np.append(same, False) | np.insert(same, 0, False) | dealt)).drop_columns("salt").to_batches()
 
 
 def _possible(n: np.ndarray, at: np.ndarray, i, j) -> np.ndarray:
@@ -392,18 +410,28 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pair_batch(left, right)
 
 
+def _short_allow(words: np.ndarray, n: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
+    """Whether the short sketches of row i and rows j, folded to the shorter of both, allow a similarity of 0.8."""
+    count = lambda x: np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+    x = words[j] ^ words[i]  # folding commutes with xor
+    two = x[:, :2] ^ x[:, 2:]
+    size = np.minimum(n[j], n[i])
+    bits = np.where(size > 128, count(x), np.where(size > 64, count(two), count(two[:, :1] ^ two[:, 1:])))
+    return 9 * bits <= n[j] + n[i]
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All possible pairs of a bucket that are not in one component."""
+    """Pairs of a bucket that are not in one component and that sizes, positions and short sketches allow."""
     for rows in _whole_buckets(batches):
-        token, ids, n, at, label = (rows[c].to_numpy().astype(np.int64) for c in ("token", "id", "n", "at", "label"))
+        token, ids, n, at, label, side = (rows[c].to_numpy().astype(np.int64) for c in ("token", "id", "n", "at", "label", "side"))
+        words = np.stack([rows[f"k{k}"].to_numpy() for k in range(SHORT)], axis=1).view(np.uint64)
         left, right, made = [], [], 0
         for low, high in _spans(token):
-            if (label[low:high] == label[low]).all():
-                continue
             for i in range(low, high - 1):
                 j = np.arange(i + 1, high)
-                j = j[(label[j] != label[i])]
+                j = j[(label[i + 1 : high] != label[i]) & ((side[i + 1 : high] != side[i]) | (side[i] == 0))]
                 j = j[_possible(n, at, i, j)]
+                j = j[_short_allow(words, n, i, j)]
                 if len(j):
                     left.append(np.full(len(j), ids[i]))
                     right.append(ids[j])
@@ -415,6 +443,31 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
 
 
+def _cells(met: DataFrame) -> DataFrame:
+    """Rows ``(id, n, at, token, label)`` of buckets in which labels meet, as ``(id, n, at, label, token, side)`` with a token for each cell.
+
+    A bucket of up to ``CELL`` rows is one cell of side 0. In a larger one the rows of its largest label are dealt in parts, and so are the others; each
+    part of the others meets every part of both. Rows of one side, 0 apart, are not compared.
+    """
+    each = met.groupBy("token", "label").count()
+    buckets = each.groupBy("token").agg(F.max_by("label", "count").alias("main"), F.max("count").alias("most"), F.sum("count").alias("rows"), F.count("*").alias("labels"))
+    buckets, _ = broadcast_if_small(checkpoint(buckets.where("labels > 1").drop("labels")))
+    parts = lambda x: F.ceil(x / F.lit(CELL)).cast("long")
+    mains, others = parts(F.col("most")), parts(F.col("rows") - F.col("most"))
+    is_main = F.col("label") == F.col("main")
+    part = F.pmod(F.xxhash64("id", "token"), F.when(is_main, mains).otherwise(others))
+    over = lambda count, cell: F.transform(F.sequence(F.lit(0).cast("long"), count - 1), cell)
+    cell = lambda kind, a, b, side: F.struct(F.xxhash64("token", F.lit(kind), a, b).alias("token"), side.cast("int").alias("side"))
+    part_ = F.col("part")
+    among = over(others, lambda o: cell(0, F.least(part_, o), F.greatest(part_, o), F.when(part_ == o, 0).when(part_ < o, 1).otherwise(2)))
+    cells = (
+        F.when(F.col("rows") <= CELL, F.array(F.struct("token", F.lit(0).alias("side"))))
+        .when(is_main, over(others, lambda o: cell(1, o, part_, F.lit(2))))
+        .otherwise(F.concat(among, over(mains, lambda o: cell(1, part_, o, F.lit(1)))))
+    )
+    return met.join(buckets, "token").withColumn("part", part).select("id", "n", "at", "label", F.explode(cells).alias("cell")).select("id", "n", "at", "label", "cell.token", "cell.side")
+
+
 def _sketches_allow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose sketches differ in no more bits than a similarity of 0.8 allows: 9 * bits <= sum of sizes."""
     for batch in batches:
@@ -444,26 +497,29 @@ def near_components(rows: DataFrame) -> DataFrame:
     counted = sample.mapInArrow(_sets, "id long, s array<long>").select(F.explode("s").alias("token")).groupBy("token").count().where(F.col("count") >= FREQUENT)
     top = counted.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).orderBy("token").toArrow()  # bounded
     frequent, ranks = top["token"].to_numpy(), top["count"].to_numpy()
-    signed = rows.select("_pw_row", "text").mapInArrow(_prefixes(frequent, ranks), "id long, low long, high long, n int, sketch binary, prefix array<long>")
+    signed = rows.select("_pw_row", "text").mapInArrow(_prefixes(frequent, ranks), "id long, low long, high long, n int, sketch binary, short array<long>, prefix array<long>, rare int")
     signed = checkpoint(signed)
     each = checkpoint(signed.groupBy("low", "high").agg(F.min("id").alias("first")))
-    copies = signed.select("id", "low", "high").join(each, ["low", "high"]).where("id != first").select("id")
+    copies = joined_on_hot(signed.select("id", "low", "high"), each, ["low", "high"]).where("id != first").select("id")
+    salt = F.when(F.col("at") >= F.col("rare"), 1 + F.pmod(F.xxhash64("id", "token"), F.lit(SALTS))).otherwise(0).cast("int")
     met = checkpoint(
-        without(signed.select("id", "n", "prefix"), checkpoint(copies), "id")
-        .select("id", "n", F.posexplode("prefix").alias("at", "token"))
-        .repartition("token").sortWithinPartitions("token", F.xxhash64("token", "id"))
+        without(signed.select("id", "n", "prefix", "rare"), checkpoint(copies), "id")
+        .select("id", "n", "rare", F.posexplode("prefix").alias("at", "token"))
+        .select("id", "n", "at", "token", salt.alias("salt"))
+        .repartition("token", "salt").sortWithinPartitions("token", "salt", F.xxhash64("token", "id"))
         .mapInArrow(_met, "id long, n int, at int, token long")
     )
-    some = met.mapInArrow(_neighbours, "a long, b long").groupBy("a").agg(F.collect_set("b").alias("bs"))
+    some = met.where(F.col("at") < LEADING).mapInArrow(_neighbours, "a long, b long").groupBy("a").agg(F.collect_set("b").alias("bs"))
     chosen = F.slice(F.array_sort(F.transform("bs", lambda b: F.struct(F.xxhash64("a", b).alias("h"), b.alias("b")))), 1, FIRST)
     first = _verified(rows, signed, checkpoint(some.select("a", F.explode(chosen).alias("x")).select("a", "x.b")))
-    found = connected_components(first).select(F.col("node").alias("id"), "component")
-    labelled = met.join(checkpoint(found), "id", "left").select("id", "n", "at", "token", F.coalesce("component", "id").alias("label"))
-    rest = labelled.repartition("token").sortWithinPartitions("token").mapInArrow(_across, "a long, b long").distinct()
-    second = _verified(rows, signed, rest)
+    found, _ = broadcast_if_small(checkpoint(connected_components(first).select(F.col("node").alias("id"), "component")))
+    labelled = checkpoint(met.join(found, "id", "left").select("id", "n", "at", "token", F.coalesce("component", "id").alias("label")))
+    short = signed.select("id", *[F.col("short")[k].alias(f"k{k}") for k in range(SHORT)])
+    rest = _cells(labelled).join(short, "id").repartition("token").sortWithinPartitions("token").mapInArrow(_across, "a long, b long").distinct()
+    second = _verified(rows, signed, checkpoint(rest))
     joined = connected_components(first.unionByName(second))
-    named = each.join(joined, each["first"] == joined.node, "left").select("low", "high", F.coalesce("component", "first").alias("component"))
-    return checkpoint(signed.select("id", "low", "high").join(named, ["low", "high"]).select("id", "component"))
+    named = checkpoint(each.join(joined, each["first"] == joined.node, "left").select("low", "high", F.coalesce("component", "first").alias("component")))
+    return checkpoint(joined_on_hot(signed.select("id", "low", "high"), named, ["low", "high"]).select("id", "component"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -484,6 +540,6 @@ def keep_first(docs: DataFrame) -> DataFrame:
     ids = rows.where("doc_id is not null").select(F.col("_pw_row").alias("id"), F.col("doc_id").alias("_own"))
     classes = near_components(rows.where("doc_id is not null").select("_pw_row", "text")).join(ids, "id")
     first = classes.groupBy("component").agg(F.min(F.struct("_own", "id")).alias("first"), F.count("*").alias("rows"))
-    first = first.where("rows > 1").select("component", F.col("first.id").alias("stays"))
-    gone = checkpoint(classes.join(first, "component").where("id != stays").select(F.col("id").alias("_pw_row")))
+    first = checkpoint(first.where("rows > 1").select("component", F.col("first.id").alias("stays")))
+    gone = checkpoint(joined_on_hot(classes, first, ["component"]).where("id != stays").select(F.col("id").alias("_pw_row")))
     return without(rows, gone).select(*docs.columns)
