@@ -5,13 +5,14 @@ of these conditional log-probabilities. A token is a lower-cased word, hashed in
 gives that of its class, and the corpus counts that of the bucket within the class; together they sum to 1 over all buckets. The
 most frequent buckets have classes of their own, the others share the rest by hash.
 
-Counts cover all documents: each task adds up its buckets, so the arrays have a fixed size. All windows of all documents train: each task makes one
-pass of minibatch descent in numpy over the windows of its own texts, with no shuffle of text or windows, and the copies are averaged, weighted by
-their windows. Averaging goes through ``GROUPS`` sums of vectors, so neither the rows shuffled nor what reaches the driver grows with more than
-the number of tasks: one network a task, ``GROUPS`` networks at the end, of a size that depends on neither rows nor vocabulary.
+Texts are cut into tokens once, and the checkpointed buckets serve all three passes. Counts cover all documents: each task adds up its buckets, so the
+arrays have a fixed size. All windows of all documents train: each task makes one pass of minibatch descent in numpy over the windows of its own texts,
+with no shuffle of text or windows, and the copies are averaged, weighted by their windows. Averaging goes by a tree of sums, each of ``GROUPS``
+networks or so, so no task adds up more than that and the driver gets ``GROUPS`` sums, of a size that depends on neither rows nor vocabulary.
+The networks of other partitions would be other ones: scores repeat for the same files read in the same splits.
 
 Nulls and edges: null texts and texts without words have no tokens and score 0; repeated rows score alike; very long texts are
-scored in pieces with their neighbours; an empty table gives no rows; other columns are ignored.
+trained on and scored in pieces with their neighbours; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,14 +26,15 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from presswork.llm.common import give_back, slices, table
+from presswork.llm.common import give_back, table
+from presswork.session import checkpoint
 
 BUCKETS, CLASSES, SHARED = 1 << 18, 128, 16
 SIDE, EMBEDDINGS, WIDTH, HIDDEN = 2, 1 << 13, 16, 32
 #: Windows of a step, the first rate, after how many windows of a task it is halved, and sums that reach the driver.
 BATCH, RATE, HALVED, GROUPS = 1024, 0.4, 2_000_000, 16
-#: Bytes of text whose windows are made together.
-SLICE_BYTES = 1 << 20
+#: Windows that are made and mixed together, about.
+TOGETHER = 1 << 17
 _PIECE, _PAD = 1 << 16, BUCKETS
 
 
@@ -155,94 +157,137 @@ def classes_of(counts: np.ndarray) -> np.ndarray:
 # --- over the corpus ----------------------------------------------------------------------------------------------------
 
 
+def coded(docs: DataFrame) -> DataFrame:
+    """``doc_id, ids`` of every row: the buckets of its words, written once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(tokens(part["text"]), pa.list_(pa.int32()))], ["doc_id", "ids"])
+        give_back()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return checkpoint(rows.mapInArrow(run, "doc_id long, ids array<int>"))
+
+
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    values, at = column.values.to_numpy(), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(at[:-1], at[1:])]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(BUCKETS, dtype=np.int64)
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            for ids in tokens(batch["text"].slice(at, 1000)):
-                np.add.at(total, ids, 1)
+        total += np.bincount(batch["ids"].flatten().to_numpy(), minlength=BUCKETS)
     held = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["bucket", "n"])
 
 
-def corpus_counts(docs: DataFrame) -> np.ndarray:
-    """How often each bucket occurs in all texts."""
-    held = docs.select("text").mapInArrow(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows
+def _counts(codes: DataFrame) -> np.ndarray:
+    held = codes.select("ids").mapInArrow(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows
     out = np.zeros(BUCKETS, dtype=np.int64)
     out[held["bucket"].to_numpy()] = held["n"].to_numpy()
     return out
 
 
+def corpus_counts(docs: DataFrame) -> np.ndarray:
+    """How often each bucket occurs in all texts."""
+    return _counts(coded(docs))
+
+
 def windows(ids: np.ndarray) -> np.ndarray:
     """Each token with its neighbours: center first, then contexts."""
     return np.concatenate([ids[:, None].astype(np.int64), contexts(ids)], axis=1)
 
 
-def fit(weights: np.ndarray, texts: Iterator[pa.Array], classes: np.ndarray) -> tuple[np.ndarray, int]:
-    """One pass over all windows of the texts, mixed within each array in an order that reruns repeat; new weights and the number of windows."""
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """All windows of all texts, about ``TOGETHER`` at a time; a long text is cut into pieces that see their neighbours."""
+    held: list[np.ndarray] = []
     seen = 0
-    for text in texts:
-        made = [windows(ids) for ids in tokens(text) if len(ids)]
-        if made:
-            rows = np.concatenate(made)
-            rows = rows[np.random.default_rng(len(rows)).permutation(len(rows))]
-            weights = train_steps(weights, rows, classes, RATE / (1 + seen / HALVED))
-            seen += len(rows)
+    for batch in batches:
+        for ids in _lists(batch["ids"]):
+            for at in range(0, len(ids), _PIECE):
+                low = max(0, at - SIDE)
+                held.append(windows(ids[low : at + _PIECE + SIDE])[at - low : at - low + _PIECE])
+                seen += len(held[-1])
+                if seen >= TOGETHER:
+                    yield np.concatenate(held)
+                    held, seen = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def fit(weights: np.ndarray, portions: Iterator[np.ndarray], classes: np.ndarray) -> tuple[np.ndarray, int]:
+    """One pass over portions of windows, each mixed in an order that reruns repeat; new weights and the number of windows."""
+    seen = 0
+    for rows in portions:
+        rows = rows[np.random.default_rng(len(rows)).permutation(len(rows))]
+        weights = train_steps(weights, rows, classes, RATE / (1 + seen / HALVED))
+        seen += len(rows)
     return weights, seen
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The weighted sum of a group's networks."""
-    total, seen = np.zeros(len(initial())), 0
+    """The sum of the networks of a task, each times its windows."""
+    total, seen, low = np.zeros(len(initial())), 0, None
     for batch in batches:
-        for n, w in zip(batch["n"].to_pylist(), batch["w"]):
-            total += n * np.frombuffer(w.as_py(), dtype=np.float32).astype(np.float64)
+        for part, n, w in zip(batch["part"].to_pylist(), batch["n"].to_pylist(), batch["w"]):
+            total += np.frombuffer(w.as_py(), dtype=np.float64)
             seen += n
+            low = part if low is None else min(low, part)
     if seen:
-        yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([total.tobytes()])], ["n", "w"])
+        yield pa.RecordBatch.from_arrays([pa.array([low]), pa.array([seen]), pa.array([total.tobytes()])], ["part", "n", "w"])
 
 
-def train(docs: DataFrame, counts: np.ndarray) -> np.ndarray:
-    """Weights of the network, averaged over tasks that together see every window of every document."""
-    classes, start = docs.sparkSession.sparkContext.broadcast(classes_of(counts)), initial()
+def _train(codes: DataFrame, counts: np.ndarray) -> np.ndarray:
+    classes, start = codes.sparkSession.sparkContext.broadcast(classes_of(counts)), initial()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        mine, n = fit(start, (part["text"] for part in slices(batches, "text", SLICE_BYTES)), classes.value)
+        mine, n = fit(start, _portions(batches), classes.value)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([context.partitionId() if context else 0]), pa.array([n]), pa.array([mine.astype(np.float32).tobytes()])], ["part", "n", "w"])
+            sums = n * mine.astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array([context.partitionId() if context else 0]), pa.array([n]), pa.array([sums.tobytes()])], ["part", "n", "w"])
         give_back()
 
-    rows = docs.select(F.col("text").cast("string").alias("text"))
-    copies = rows.mapInArrow(run, "part long, n long, w binary").repartition(GROUPS, "part").sortWithinPartitions("part")
-    sums = copies.mapInArrow(_add, "n long, w binary").toArrow()  # at most GROUPS rows
-    seen = sum(sums["n"].to_pylist())
+    schema = "part long, n long, w binary"
+    sums, width = codes.select("ids").mapInArrow(run, schema), codes.rdd.getNumPartitions()
+    while width > 1:  # a level of the tree
+        width = -(-width // GROUPS)
+        sums = sums.repartition(max(width, GROUPS), "part").sortWithinPartitions("part").mapInArrow(_add, schema)
+        if width <= GROUPS:
+            break
+    held = sums.toArrow()  # at most GROUPS rows
+    seen = sum(held["n"].to_pylist())
     if not seen:
         return start
-    # smallest first, so that the order of arrival doesn't matter
-    parts = sorted(zip(sums["n"].to_pylist(), sums["w"].to_pylist()))
+    # by part, so that the order of arrival doesn't matter
+    parts = sorted(zip(held["part"].to_pylist(), held["w"].to_pylist()))
     return (sum(np.frombuffer(w, dtype=np.float64) for _, w in parts) / seen).astype(np.float32)
 
 
+def train(docs: DataFrame, counts: np.ndarray) -> np.ndarray:
+    """Weights of the network, averaged over tasks that together see every window of every document."""
+    return _train(coded(docs), counts)
+
+
 def score(docs: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, pseudo_log_likelihood, per_token`` of every row."""
-    context = docs.sparkSession.sparkContext
-    counts = corpus_counts(docs)
-    shared = context.broadcast((train(docs, counts), counts))
+    codes = coded(docs)
+    counts = _counts(codes)
+    shared = docs.sparkSession.sparkContext.broadcast((_train(codes, counts), counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                all_ids = tokens(part["text"])
-                sums = [scorer.document(ids) for ids in all_ids]
-                n = [len(ids) for ids in all_ids]
-                mean = [s / k if k else 0.0 for s, k in zip(sums, n)]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array(mean, pa.float64())], ["doc_id", "n_tokens", "pseudo_log_likelihood", "per_token"])
+            all_ids = _lists(batch["ids"])
+            sums = [scorer.document(ids) for ids in all_ids]
+            n = [len(ids) for ids in all_ids]
+            mean = [s / k if k else 0.0 for s, k in zip(sums, n)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(sums, pa.float64()), pa.array(mean, pa.float64())], ["doc_id", "n_tokens", "pseudo_log_likelihood", "per_token"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, pseudo_log_likelihood double, per_token double")
+    return codes.mapInArrow(run, "doc_id long, n_tokens long, pseudo_log_likelihood double, per_token double")
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
