@@ -16,8 +16,8 @@ of at least 0.8, exactly. Two such sets share one of the first n - ceil(0.8 n) +
 all pairs that share one and pass bounds on sizes and positions are candidates, and each candidate is verified on the whole sets. In that order
 shingles that a sample shows to be frequent come last, which makes buckets small; no link depends on the sample. Equal sets are one vertex.
 Candidates are verified in two rounds: first at most ``FIRST`` a set, whose links give components; then all candidates between different
-components. So a large group of edited copies is not compared pair by pair, and no component is missed. The first round looks only at the first ``LEADING``
-shingles of each set, so its candidates grow with the sets; the second looks at all buckets in which components meet. Of those with more than
+components. So a large group of edited copies is not compared pair by pair, and no component is missed. The first round looks only at the ``LEADING``
+smallest shingles of each set, frequent or not, which near sets mostly share, so its candidates grow with the sets; the second looks at all buckets in which components meet. Of those with more than
 ``CELL`` rows the largest component and the rest are dealt in parts, and a task compares two parts, never two of the largest component. Each row there carries a short parity sketch, and pairs that it rejects never leave their bucket.
 Each round then compares whole parity sketches: a set of n has at least n bits, the k-th being the parity of how many shingles fall on k. Each shingle that only one of two sets has
 flips one bit, so two sketches never differ in more bits than the sets differ in shingles; a pair whose sketches differ in more than similarity
@@ -46,8 +46,8 @@ SHINGLE, RADIUS = 3, 3
 SHINGLE_WIDE = 5
 #: Rows whose shingles are counted to find frequent ones, the least count there, and how many are kept at most.
 SAMPLE_ROWS, FREQUENT, MOST_FREQUENT = 10_000, 4, 100_000
-#: Candidates of a set in the first round, and how many shingles of its prefix are looked up there.
-FIRST, LEADING = 4, 8
+#: Candidates of a set in the first round, and how many of its shingles are looked up there.
+FIRST, LEADING = 24, 8
 #: Words of the short sketch that goes with a row into its buckets.
 SHORT = 4
 #: Rows of a bucket that one task compares with each other; larger buckets are dealt in parts of about this size.
@@ -331,21 +331,21 @@ def prefix_length(n: int) -> int:
 def _prefixes(frequent: np.ndarray, ranks: np.ndarray):
     """Digest, size, parity sketch and prefix of each row's set, and how many of its shingles are rare; ``frequent`` ones (ascending) come last, by ``ranks``."""
 
-    def one(s: np.ndarray) -> tuple[int, int, int, bytes, np.ndarray, int]:
+    def one(s: np.ndarray) -> tuple[int, int, int, bytes, np.ndarray, int, np.ndarray, np.ndarray]:
         digest = xxhash.xxh128_intdigest(s.tobytes(), SEED)
-        order, rare = s, len(s)
+        order, rare, hot = s, len(s), np.zeros(len(s), dtype=bool)
         if len(frequent):
             at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
             rank = np.where(frequent[at] == s, ranks[at], 0)
-            order, rare = s[np.lexsort((s, rank))], int((rank == 0).sum())
-        return _signed(digest & _ONES), _signed(digest >> 64), len(s), parity_sketch(s), order[: prefix_length(len(s))], rare
+            order, rare, hot = s[np.lexsort((s, rank))], int((rank == 0).sum()), rank > 0
+        return _signed(digest & _ONES), _signed(digest >> 64), len(s), parity_sketch(s), order[: prefix_length(len(s))], rare, s[:LEADING], hot[:LEADING]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 20):
-            low, high, n, sketch, prefix, rare = zip(*[one(shingle_set(t)) for t in part["text"].to_pylist()])
+            low, high, n, sketch, prefix, rare, lead, hot = zip(*[one(shingle_set(t)) for t in part["text"].to_pylist()])
             yield pa.RecordBatch.from_arrays(
-                [part["_pw_row"], pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(n, pa.int32()), pa.array(sketch, pa.binary()), pa.array([short_sketch(x) for x in sketch], pa.list_(pa.int64())), pa.array(list(prefix), pa.list_(pa.int64())), pa.array(rare, pa.int32())],
-                ["id", "low", "high", "n", "sketch", "short", "prefix", "rare"],
+                [part["_pw_row"], pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(n, pa.int32()), pa.array(sketch, pa.binary()), pa.array([short_sketch(x) for x in sketch], pa.list_(pa.int64())), pa.array(list(prefix), pa.list_(pa.int64())), pa.array(rare, pa.int32()), pa.array(list(lead), pa.list_(pa.int64())), pa.array(list(hot), pa.list_(pa.bool_()))],
+                ["id", "low", "high", "n", "sketch", "short", "prefix", "rare", "lead", "hot"],
             )
             give_back()
 
@@ -396,35 +396,41 @@ def _pair_batch(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
+def _short_allow(words: np.ndarray, n: np.ndarray, i: int | np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the short sketches of rows i and rows j, folded to the shorter of both, allow a similarity of 0.8."""
+    count = lambda x: np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+    x = words[j] ^ words[i]  # folding commutes with xor
+    two = x[:, :2] ^ x[:, 2:]
+    size = np.minimum(n[j], n[i])
+    bits = np.where(size > 128, count(x), np.where(size > 64, count(two), count(two[:, :1] ^ two[:, 1:])))
+    return 9 * bits <= n[j] + n[i]
+
+
+def _short_words(rows: pa.Table) -> np.ndarray:
+    return np.stack([rows[f"k{k}"].to_numpy() for k in range(SHORT)], axis=1).view(np.uint64)
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First candidates: the next possible of three in a bucket's own random order, as many pairs as three times the rows at most."""
+    """First candidates: the next of three in a bucket's own random order that sizes and short sketches allow."""
     give_back()
     for rows in _whole_buckets(batches):
-        token, ids, n, at = (rows[c].to_numpy().astype(np.int64) for c in ("token", "id", "n", "at"))
+        token, ids, n = (rows[c].to_numpy().astype(np.int64) for c in ("token", "id", "n"))
+        words = _short_words(rows)
         left, right = [], []
         for step in (1, 2, 3):
             i = np.flatnonzero(token[step:] == token[:-step])
-            i = i[_possible(n, at, i, i + step)]
+            i = i[9 * np.minimum(n[i], n[i + step]) >= 4 * (n[i] + n[i + step])]
+            i = i[_short_allow(words, n, i, i + step)]
             left.append(ids[i])
             right.append(ids[i + step])
         yield _pair_batch(left, right)
 
 
-def _short_allow(words: np.ndarray, n: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
-    """Whether the short sketches of row i and rows j, folded to the shorter of both, allow a similarity of 0.8."""
-    count = lambda x: np.bitwise_count(x).sum(axis=1, dtype=np.int64)
-    x = words[j] ^ words[i]  # folding commutes with xor
-    two = x[:, :2] ^ x[:, 2:]
-    size = np.minimum(n[j], n[i])
-    bits = np.where(size > 128, count(x), np.where(size > 64, count(two), count(two[:, :1] ^ two[:, 1:])))
-    return 9 * bits <= n[j] + n[i]
-
-
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of a bucket that are not in one component and that sizes, positions and short sketches allow."""
     for rows in _whole_buckets(batches):
         token, ids, n, at, label, side = (rows[c].to_numpy().astype(np.int64) for c in ("token", "id", "n", "at", "label", "side"))
-        words = np.stack([rows[f"k{k}"].to_numpy() for k in range(SHORT)], axis=1).view(np.uint64)
+        words = _short_words(rows)
         left, right, made = [], [], 0
         for low, high in _spans(token):
             for i in range(low, high - 1):
@@ -497,25 +503,30 @@ def near_components(rows: DataFrame) -> DataFrame:
     counted = sample.mapInArrow(_sets, "id long, s array<long>").select(F.explode("s").alias("token")).groupBy("token").count().where(F.col("count") >= FREQUENT)
     top = counted.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).orderBy("token").toArrow()  # bounded
     frequent, ranks = top["token"].to_numpy(), top["count"].to_numpy()
-    signed = rows.select("_pw_row", "text").mapInArrow(_prefixes(frequent, ranks), "id long, low long, high long, n int, sketch binary, short array<long>, prefix array<long>, rare int")
+    signed = rows.select("_pw_row", "text").mapInArrow(_prefixes(frequent, ranks), "id long, low long, high long, n int, sketch binary, short array<long>, prefix array<long>, rare int, lead array<long>, hot array<boolean>")
     signed = checkpoint(signed)
     each = checkpoint(signed.groupBy("low", "high").agg(F.min("id").alias("first")))
     copies = joined_on_hot(signed.select("id", "low", "high"), each, ["low", "high"]).where("id != first").select("id")
     salt = F.when(F.col("at") >= F.col("rare"), 1 + F.pmod(F.xxhash64("id", "token"), F.lit(SALTS))).otherwise(0).cast("int")
+    single = checkpoint(without(signed.drop("low", "high", "sketch"), checkpoint(copies), "id"))
+    short = [F.col("short")[k].alias(f"k{k}") for k in range(SHORT)]
     met = checkpoint(
-        without(signed.select("id", "n", "prefix", "rare"), checkpoint(copies), "id")
-        .select("id", "n", "rare", F.posexplode("prefix").alias("at", "token"))
+        single.select("id", "n", "rare", F.posexplode("prefix").alias("at", "token"))
         .select("id", "n", "at", "token", salt.alias("salt"))
         .repartition("token", "salt").sortWithinPartitions("token", "salt", F.xxhash64("token", "id"))
         .mapInArrow(_met, "id long, n int, at int, token long")
     )
-    some = met.where(F.col("at") < LEADING).mapInArrow(_neighbours, "a long, b long").groupBy("a").agg(F.collect_set("b").alias("bs"))
+    dealt = F.when(F.col("x.hot"), F.pmod(F.xxhash64("id", "x.lead"), F.lit(SALTS))).otherwise(0)
+    some = (
+        single.select("id", "n", *short, F.explode(F.arrays_zip("lead", "hot")).alias("x")).select("id", "n", *[f"k{k}" for k in range(SHORT)], F.col("x.lead").alias("token"), dealt.alias("salt"))
+        .repartition("token", "salt").sortWithinPartitions("token", F.xxhash64("token", "id")).drop("salt")
+        .mapInArrow(_neighbours, "a long, b long").groupBy("a").agg(F.collect_set("b").alias("bs"))
+    )
     chosen = F.slice(F.array_sort(F.transform("bs", lambda b: F.struct(F.xxhash64("a", b).alias("h"), b.alias("b")))), 1, FIRST)
     first = _verified(rows, signed, checkpoint(some.select("a", F.explode(chosen).alias("x")).select("a", "x.b")))
     found, _ = broadcast_if_small(checkpoint(connected_components(first).select(F.col("node").alias("id"), "component")))
     labelled = checkpoint(met.join(found, "id", "left").select("id", "n", "at", "token", F.coalesce("component", "id").alias("label")))
-    short = signed.select("id", *[F.col("short")[k].alias(f"k{k}") for k in range(SHORT)])
-    rest = _cells(labelled).join(short, "id").repartition("token").sortWithinPartitions("token").mapInArrow(_across, "a long, b long").distinct()
+    rest = _cells(labelled).join(single.select("id", *short), "id").repartition("token").sortWithinPartitions("token").mapInArrow(_across, "a long, b long").distinct()
     second = _verified(rows, signed, checkpoint(rest))
     joined = connected_components(first.unionByName(second))
     named = checkpoint(each.join(joined, each["first"] == joined.node, "left").select("low", "high", F.coalesce("component", "first").alias("component")))
