@@ -11,8 +11,8 @@ what shares its residual (the bits outside the view) or differs there in one bit
 2 in the view; and what is equal in the view and differs in three residual bits is looked up in a table of the residuals. Each
 bucket gives a star for each of its groups, no more rows than it has. Components come from the links (``operators.graph``).
 
-``near_duplicates`` and ``keep_first`` do without fingerprints: they link texts whose sets of five-word shingles have a Jaccard similarity
-of at least 0.8, exactly. Two such sets share one of the first n - ceil(0.8 n) + 1 shingles of each, in any common order (prefix filter), so
+``op4_simhash_dedup`` and ``keep_first``, the pipeline's stage, go by these components. ``near_duplicates``, which no registered query uses, does
+without fingerprints: it links texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8, exactly. Two such sets share one of the first n - ceil(0.8 n) + 1 shingles of each, in any common order (prefix filter), so
 all pairs that share one and pass bounds on sizes and positions are candidates, and each candidate is verified on the whole sets. In that order
 shingles that a sample shows to be frequent come last, which makes buckets small; no link depends on the sample. Equal sets are one vertex.
 Candidates are verified in two rounds: first at most ``FIRST`` a set, whose links give components; then all candidates between different
@@ -541,15 +541,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return own.join(lowest, "component").select("doc_id", "component_id")
 
 
+def fingerprint_components(rows: DataFrame) -> DataFrame:
+    """``(id, component)`` of all rows ``(_pw_row, text)`` over links of fingerprints, as ``op4_simhash_dedup`` has them; named by the smallest id."""
+    fps = fingerprints(rows, key="_pw_row").withColumnRenamed("_pw_row", "doc_id")
+    return checkpoint(components(checkpoint(fps)).select(F.col("doc_id").alias("id"), F.col("component_id").alias("component")))
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates, that with the smallest doc_id, and all rows without doc_id.
 
-    Of rows with equal doc_id and equal text one stays. Decisions are made on narrow rows; then a row finds out by its generated id, which is
-    unique, whether it goes.
+    Groups are the components of fingerprints, so of rows with equal text one stays. Decisions are made on narrow rows; then a row finds out
+    by its generated id, which is unique, whether it goes.
     """
     rows = numbered(docs)
     ids = rows.where("doc_id is not null").select(F.col("_pw_row").alias("id"), F.col("doc_id").alias("_own"))
-    classes = near_components(rows.where("doc_id is not null").select("_pw_row", "text")).join(ids, "id")
+    classes = fingerprint_components(rows.where("doc_id is not null").select("_pw_row", "text")).join(ids, "id")
     first = classes.groupBy("component").agg(F.min(F.struct("_own", "id")).alias("first"), F.count("*").alias("rows"))
     first = checkpoint(first.where("rows > 1").select("component", F.col("first.id").alias("stays")))
     gone = checkpoint(joined_on_hot(classes, first, ["component"]).where("id != stays").select(F.col("id").alias("_pw_row")))
