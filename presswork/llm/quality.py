@@ -5,13 +5,12 @@ character, so its context and suffix are bit operations. Counts, continuation co
 aggregations sharded by n-gram, and probabilities are built from the lowest order up by equi-joins of counts with context totals
 (on the context) and with the next lower order (on the suffix).
 
-The model is fitted on a bounded sample of trusted rows: at most ``SAMPLE_ROWS`` labelled good, lowest even hashes first, up to
-``SAMPLE_CHARS`` characters; of a text of more than ``SPAN_CHARS`` a span of that length at a hashed place is taken, so that no single
-row can fill the sample or shut out the others. So it has at most 6 * ``SAMPLE_CHARS`` entries, and is broadcast for scoring. Joining
-each document's n-grams to the sharded tables instead (``score_by_joins``) gives the same sums, but shuffles several times the text (see README).
+Every trusted row counts, whole: those with even hashes fit the model, all others set the thresholds, as a model's own texts would set them too
+low. A fitted model of at most ``BROADCAST_GRAMS`` n-grams, by a count, is broadcast for scoring. With a larger one each document's n-grams are joined
+to the sharded tables (``score_by_joins``), which gives the same sums, but shuffles several times the text (see README).
 
-A document's score is its mean negative log-probability per character, with ``PRIOR_CHARS`` characters of the sample's mean added, so
-that a few words prove little. Thresholds are quantiles of the scores of all trusted rows, one for each language; languages
+A document's score is its mean negative log-probability per character, with ``PRIOR_CHARS`` characters of the held-out mean added, so
+that a few words prove little. Thresholds are quantiles of the scores of all trusted rows that are held out, one for each language; languages
 with fewer than ``LEAST_TRUSTED`` such rows use the quantile over all languages.
 
 Nulls and edges: null and empty texts have the mean score and are kept; a null language is a language of its own; doc_ids without labels
@@ -27,18 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from presswork.llm.common import broadcast_if_small, give_back, numbered, table, without
+from presswork.llm.common import BROADCAST_IDS, broadcast_if_small, give_back, numbered, slices, table, without
 from presswork.session import checkpoint
 
 ORDER, BITS = 6, 10
 LETTER = (1 << BITS) - 1
-#: Characters with a code of their own: the most frequent of the sample. 0 stands before a text, 1 for all other characters.
+#: Characters with a code of their own: the most frequent of the texts that fit the model. 0 stands before a text, 1 for all other characters.
 ALPHABET = LETTER - 1
-SAMPLE_ROWS, SAMPLE_CHARS = 3000, 3_000_000
-#: The most characters that one row gives to the sample.
-SPAN_CHARS = SAMPLE_CHARS // 30
+#: Characters of a text whose n-grams are counted at a time, and about the bytes of text that are; longer texts come in pieces.
+SAMPLE_CHARS = 3_000_000
+#: A model of at most so many n-grams is broadcast (about 30 bytes each in every Python worker).
+BROADCAST_GRAMS = 4_000_000
 PRIOR_CHARS, LEAST_TRUSTED = 100, 50
 QUANTILE = 0.995
 #: Rows of text that are Python objects at a time, and characters that are scored at a time.
@@ -71,14 +71,36 @@ def _alphabet(points: tuple[int, ...]) -> Alphabet:
     return Alphabet(list(points))
 
 
+def _count_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text", SAMPLE_CHARS):
+        text = "".join(t for t in batch["text"].to_pylist() if t)
+        for at in range(0, len(text), SAMPLE_CHARS):
+            n = np.bincount(np.frombuffer(text[at : at + SAMPLE_CHARS].encode("utf-32-le", "surrogatepass"), dtype="<u4"))
+            points = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(points.astype(np.int32)), pa.array(n[points].astype(np.int64))], ["point", "n"])
+        give_back()
+
+
 def _count_grams(points: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = _alphabet(points)
-        for batch in batches:
-            made = [grams(letters.codes(t)) for t in batch["text"].to_pylist() if t]
+
+        def counted(made: list[np.ndarray]) -> pa.RecordBatch:
+            g, n = np.unique(np.concatenate(made), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(g), pa.array(n.astype(np.int64))], ["g", "c"])
+
+        for batch in slices(batches, "text", SAMPLE_CHARS):
+            made = []
+            for text in batch["text"].to_pylist():
+                for at in range(0, len(text or ""), SAMPLE_CHARS):
+                    before = min(at, ORDER - 1)
+                    made.append(grams(letters.codes(text[at - before : at + SAMPLE_CHARS]))[before:])
+                    if at:
+                        yield counted(made)
+                        made = []
             if made:
-                g, n = np.unique(np.concatenate(made), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n.astype(np.int64))], ["g", "c"])
+                yield counted(made)
+            give_back()
 
     return run
 
@@ -87,12 +109,12 @@ def _suffix(g: str, order: int) -> Column:
     return F.col(g).bitwiseAND(F.lit((1 << (BITS * (order - 1))) - 1))
 
 
-def fit_tables(sample: DataFrame) -> tuple[tuple[int, ...], list[tuple[DataFrame, DataFrame]]]:
-    """Fit on ``text`` rows: the alphabet, and for each order the n-grams ``(g, p)`` with log-probabilities and the contexts ``(h, w)`` with log back-off weights."""
-    sample = checkpoint(sample.select("text"))
-    letters = sample.select(F.explode(F.split(F.coalesce("text", F.lit("")), "")).alias("c")).where("c <> ''").groupBy("c").count()
-    points = tuple(ord(r.c) for r in letters.orderBy(F.desc("count"), "c").limit(ALPHABET).collect())
-    counts = {ORDER: checkpoint(sample.mapInArrow(_count_grams(points), "g long, c long").groupBy("g").agg(F.sum("c").alias("c")))}
+def fit_tables(texts: DataFrame) -> tuple[tuple[int, ...], list[tuple[DataFrame, DataFrame]]]:
+    """Fit on all ``text`` rows, which are read twice: the alphabet, and for each order the n-grams ``(g, p)`` with log-probabilities and the contexts ``(h, w)`` with log back-off weights."""
+    texts = texts.select("text")
+    letters = texts.mapInArrow(_count_letters, "point int, n long").groupBy("point").agg(F.sum("n").alias("n"))
+    points = tuple(r.point for r in letters.orderBy(F.desc("n"), "point").limit(ALPHABET).collect())
+    counts = {ORDER: checkpoint(texts.mapInArrow(_count_grams(points), "g long, c long").groupBy("g").agg(F.sum("c").alias("c")))}
     for order in range(ORDER - 1, 0, -1):  # continuation counts: how many different characters stand before
         counts[order] = checkpoint(counts[order + 1].groupBy(_suffix("g", order + 1).alias("g")).agg(F.count("*").alias("c")))
     lower: DataFrame | None = None
@@ -118,9 +140,12 @@ def fit_tables(sample: DataFrame) -> tuple[tuple[int, ...], list[tuple[DataFrame
     return points, tables
 
 
-def train(sample: DataFrame) -> dict:
-    """The fitted model in memory; as large as the sample, so only for bounded ones."""
-    points, tables = fit_tables(sample)
+def train(texts: DataFrame) -> dict:
+    """The fitted model in memory, for those that a count shows to be small."""
+    return gathered(*fit_tables(texts))
+
+
+def gathered(points: tuple[int, ...], tables: list[tuple[DataFrame, DataFrame]]) -> dict:
     orders = []
     for grams_, contexts in tables:
         seen, weights = grams_.toArrow(), contexts.toArrow()
@@ -147,7 +172,7 @@ def score_by_joins(rows: DataFrame, points: tuple[int, ...], tables: list[tuple[
     """``(_pw_row, _pw_nll, _pw_n)`` of rows ``(_pw_row, text)`` by joins with the sharded tables, for a model of any size.
 
     Each distinct n-gram is looked up once, at all orders, by equi-joins; rows then fetch the sums of their own. Rows without text don't appear.
-    The classifier scores with the broadcast model instead, which shuffles nothing; both give the same sums.
+    The classifier scores with the broadcast model where that is small, which shuffles nothing; both give the same sums.
     """
     own = checkpoint(rows.select("_pw_row", "text").mapInArrow(_row_grams(points), "_pw_row long, g long, n long"))
     found = own.select("g").distinct()
@@ -233,23 +258,14 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def _sample_ids(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """Trusted doc_ids by hash, within the bounds and from one half of all, so that the other half is left to set thresholds.
+    """The trusted doc_ids whose texts fit the model: all of one half, so that the whole other half is left to set thresholds.
 
     The half is that of even hashes, or the other one if that has no text.
     """
     narrow = docs.select("doc_id", F.length("text").alias("n")).join(trusted, "doc_id", "left_semi")
-    hashed = narrow.where("n > 0").select("doc_id", F.least("n", F.lit(SPAN_CHARS)).alias("n"), F.xxhash64("doc_id").alias("h"))
-    half = hashed.agg(F.min(F.pmod("h", F.lit(2)))).first()[0] or 0
-    first = hashed.where(F.pmod("h", F.lit(2)) == half).orderBy("h", "doc_id", "n").limit(SAMPLE_ROWS)
-    total = F.sum("n").over(Window.orderBy("h", "doc_id", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return checkpoint(first.withColumn("total", total).where(F.col("total") <= SAMPLE_CHARS).select("doc_id").distinct())  # at most SAMPLE_ROWS rows
-
-
-def _span() -> Column:
-    """The text, or of a long one the span that the sample takes."""
-    n = F.length("text")
-    start = F.pmod(F.xxhash64("doc_id", F.lit(1)), n - SPAN_CHARS + 1).cast("int") + 1
-    return F.when(n > SPAN_CHARS, F.substring("text", start, F.lit(SPAN_CHARS))).otherwise(F.col("text")).alias("text")
+    hashed = narrow.where("n > 0").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half")).distinct()
+    half = hashed.agg(F.min("half")).first()[0] or 0
+    return checkpoint(hashed.where(F.col("half") == half).select("doc_id"))
 
 
 class Classifier:
@@ -258,9 +274,10 @@ class Classifier:
     def __init__(self, docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE):
         self.spark = docs.sparkSession
         trusted = checkpoint(trusted_ids(labels))
-        ids = F.broadcast(_sample_ids(docs, trusted))
-        self.model = train(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select(_span()))
-        self.shared = self.spark.sparkContext.broadcast(self.model)
+        ids, _ = broadcast_if_small(_sample_ids(docs, trusted), BROADCAST_IDS)
+        self.points, self.tables = fit_tables(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
+        small = sum(t.count() for t, _ in self.tables) <= BROADCAST_GRAMS
+        self.shared = self.spark.sparkContext.broadcast(gathered(self.points, self.tables)) if small else None
         self.mean = 0.0
         self.rows = numbered(docs)
         self.scored = checkpoint(self.score(self.rows.select("_pw_row", "doc_id", "lang", "text"), ["_pw_row", "doc_id", "lang"]))
@@ -279,8 +296,12 @@ class Classifier:
         return (F.col("_pw_nll") + F.lit(PRIOR_CHARS * self.mean)) / (F.col("_pw_n") + F.lit(float(PRIOR_CHARS)))
 
     def score(self, rows: DataFrame, keep: list[str]) -> DataFrame:
-        """Add ``_pw_nll`` and ``_pw_n`` to the columns ``keep`` of rows with ``text``."""
+        """Add ``_pw_nll`` and ``_pw_n`` to the columns ``keep``, ``_pw_row`` among them, of rows with ``text``."""
         shared = self.shared
+        if shared is None:
+            sums = score_by_joins(rows, self.points, self.tables)
+            own = rows.select(*keep).join(sums, "_pw_row", "left")
+            return own.select(*keep, F.coalesce("_pw_nll", F.lit(0.0)).alias("_pw_nll"), F.coalesce("_pw_n", F.lit(0)).alias("_pw_n"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = shared.value
